@@ -35,7 +35,6 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -276,23 +275,39 @@ def fold(maps: list[bytes]) -> np.ndarray:
     return out
 
 
-def compare_list(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
+def compare_list(nodes, side, sizes, comps, maps: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of one list, or of two of its blocks (``side`` 0 and 1)."""
-    pdf = pdf.drop_duplicates(["side", "node"]).sort_values(["size", "bits", "node"], kind="stable")
-    bits = fold(pdf["bits"].tolist())
-    side, nodes = pdf["side"].to_numpy(), pdf["node"].to_numpy()
-    sizes, comps = pdf["size"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64)
+    bits = fold(maps)
+    order = np.lexsort((nodes, *bits[:, 7::-1].T, sizes))
     trees = []
     for s in (0, 1):
-        at = np.flatnonzero(side == s)
+        at = order[side[order] == s]
         trees.append((nodes[at], comps[at], SignatureTree(bits[at], sizes[at], comps[at])) if len(at) else None)
     if trees[0] is None:
-        return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+        return nodes[:0], nodes[:0]
     x, y = trees[0], trees[1] or trees[0]
     i, j = traverse(x[2], y[2], threshold, trees[1] is None)
     ok = x[1][i] != y[1][j]
     u, v = x[0][i[ok]], y[0][j[ok]]
-    return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        members = batch.column("members")
+        ends, flat = members.offsets.to_numpy(), members.values
+        nodes, side, sizes, comps = (flat.field(k).to_numpy() for k in ("node", "side", "size", "comp"))
+        maps = flat.field("bits")
+        pairs = [(nodes[:0], nodes[:0])]
+        for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            part = slice(lo, hi)
+            pairs.append(
+                compare_list(nodes[part], side[part], sizes[part], comps[part], maps[lo:hi].to_pylist(), threshold)
+            )
+        u, v = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        if len(u):
+            u, v = np.unique(np.stack([u, v]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
 # --- the join -------------------------------------------------------------------------
@@ -378,8 +393,11 @@ def shingle_components(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: int =
         )
         parts = parts.join(maps, "node").select("list", "at.p", "at.q", "at.side", "node", "comp", "size", "bits")
         more = materialise(
+            # two blocks at most: about 2 * BLOCK members in a row
             parts.groupBy("list", "p", "q")
-            .applyInPandas(lambda pdf: compare_list(pdf, threshold), "u long, v long")
+            .agg(F.collect_list(F.struct("side", "node", "comp", "size", "bits")).alias("members"))
+            .select("members")
+            .mapInArrow(lambda it: _compare(it, threshold), "u long, v long")
             .distinct(),
             "more",
         )
