@@ -8,6 +8,7 @@ temporary folder of its own, which is right for a single machine alone.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,3 +57,13 @@ def release(spark: SparkSession) -> None:
         f"{shared_root(spark)}/vaakya-{spark.sparkContext.applicationId}"
     )
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which a driver with little to do
+    may put off until executors' disks hold every shuffle of the job.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

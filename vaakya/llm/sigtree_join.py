@@ -13,8 +13,8 @@ How:
    one segment at least.  A node is listed under the sum of each of its segments, for its
    own class and the next larger one: no link is ever missed, and a passage that many
    documents share brings them together only where it fills a whole segment.
-3. Links found fast: of the nodes it shares most segments with, each node is verified
-   against one, and components are formed.
+3. Links found fast: in each list the node that shares most lists is its hub.  Each node is
+   verified against the hub it meets most often, and components are formed; a few rounds.
 4. Signature trees find the rest: in every list that still spans two components, nodes are
    arranged in a tree whose inner nodes hold the OR of the token bitmaps below, the largest
    AND and the range of sizes.  Two trees are traversed together; a pair of tree nodes is
@@ -42,13 +42,17 @@ from pyspark.sql import functions as F
 
 from vaakya.llm import textbuf as tb
 from vaakya.llm.components import connected_components
-from vaakya.llm.scratch import discard, materialise
+from vaakya.llm.scratch import discard, materialise, tidy
 
 SHINGLE_WORDS = 3
 THRESHOLD = 90
 #: Nodes of one list that a single task compares; longer lists are cut into blocks of this.
 BLOCK = 2048
 LEAF = 8
+#: Bits of a bitmap for each shingle of the largest set of a class.
+BITS_EACH = 4
+#: Rounds of verification against hubs before the trees; more rounds leave the trees less.
+HUB_ROUNDS = 3
 
 
 def size_bounds(threshold: int, upto: int) -> list[int]:
@@ -87,8 +91,8 @@ def node_of(items: np.ndarray) -> int:
 
 
 def bitmap_bits(size_class: int, bounds: list[int]) -> int:
-    """Bits of a class's bitmaps: a power of two, at least twice its largest set."""
-    return max(64, 1 << (2 * bounds[size_class + 1] - 1).bit_length())
+    """Bits of a class's bitmaps: a power of two, at least BITS_EACH times its largest set."""
+    return max(64, 1 << (BITS_EACH * bounds[size_class + 1] - 1).bit_length())
 
 
 def bitmap(items: np.ndarray, bits: int) -> np.ndarray:
@@ -315,6 +319,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
 
 def shingle_components(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (see the module's text)."""
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = materialise(
         texts.mapInArrow(
@@ -323,31 +328,21 @@ def shingle_components(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: int =
         "sets",
     )
     lists = sets.where("sums is not null").select("node", F.explode("sums").alias("list"))
-    shared = lists.groupBy("list").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = materialise(
-        lists.join(shared.select("list", "lo"), "list").distinct(),
-        "members",
-    )
-    # each node's most frequent list head: one verification a node joins most near copies
-    first = (
-        members.where("node != lo")
-        .groupBy("node", "lo")
-        .count()
-        .groupBy("node")
-        .agg(F.max_by("lo", F.struct("count", "lo")).alias("lo"))
-        .select(F.col("node").alias("u"), F.col("lo").alias("v"))
-    )
-    first = materialise(first, "first")
+    # a list of one row holds no pair; counts alone are shuffled for most lists
+    shared = lists.groupBy("list").count().where("count > 1").select("list")
+    members = materialise(lists.join(shared, "list").distinct(), "members")
+    tidy(spark)
+    degrees = members.groupBy("node").agg(F.count("*").alias("degree"))
+    members = materialise(members.join(degrees, "node"), "members")
     ids = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = members.select("node").distinct()
-    chosen = ids.join(wanted, "node", "left_semi")
-    source = texts.join(chosen, "doc_id").select("node", "text", "doc_id")
+    chosen = ids.join(members.select("node").distinct(), "node", "left_semi")
+    source = texts.join(chosen, "doc_id").select("node", "text")
 
-    def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, by their whole sets."""
+        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         whole = materialise(
-            source.join(nodes, "node", "left_semi")
-            .select("node", "text")
-            .mapInArrow(lambda it: _fetch_sets(it, n), "node long, items binary"),
+            source.join(nodes, "node", "left_semi").mapInArrow(lambda it: _fetch_sets(it, n), "node long, items binary"),
             "items",
         )
         both = (
@@ -355,13 +350,42 @@ def shingle_components(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: int =
             .join(whole.select(F.col("node").alias("v"), F.col("items").alias("items_v")), "v")
             .select("u", "v", "items_u", "items_v")
         )
-        return materialise(both.mapInArrow(lambda it: _verify(it, threshold), "u long, v long").distinct(), "links")
-
-    links = verified(first, first.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    comp = materialise(connected_components(links), "comp")
-    labelled = members.select("list", "node").join(comp, "node", "left").select(
-        "list", "node", F.coalesce("component", "node").alias("comp")
-    )
+        links = materialise(both.mapInArrow(lambda it: _verify(it, threshold), "u long, v long").distinct(), "links")
+        discard(whole)
+        return links
+
+    # Hubs first.  In each list the node that shares most lists is the likeliest to link with
+    # the others; each node is verified against the hub it meets most often.
+    links = spark.createDataFrame([], "u long, v long")
+    tested = links
+    comp = spark.createDataFrame([], "node long, component long")
+    for _ in range(HUB_ROUNDS):
+        labelled = members.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+        by_degree = F.struct("degree", F.negative("node").alias("order"), "node", "comp")
+        hubs = labelled.groupBy("list").agg(
+            F.max(by_degree).alias("hub"), F.min("comp").alias("a"), F.max("comp").alias("b")
+        )
+        hubs = hubs.where("a < b").select("list", F.col("hub.node").alias("v"), F.col("hub.comp").alias("hub_comp"))
+        pairs = (
+            labelled.join(hubs, "list")
+            .where("comp != hub_comp")
+            .groupBy(F.col("node").alias("u"), "v")
+            .count()
+            .join(tested, ["u", "v"], "left_anti")
+            .groupBy("u")
+            .agg(F.max_by("v", F.struct("count", "v")).alias("v"))
+        )
+        pairs = materialise(pairs, "pairs")
+        if pairs.isEmpty():
+            break
+        more = verified(pairs)
+        links = links.union(more)
+        tested = tested.union(pairs)
+        if more.isEmpty():
+            break
+        comp = materialise(connected_components(links), "comp")
+        tidy(spark)
+    labelled = members.join(comp, "node", "left").select("list", "node", F.coalesce("component", "node").alias("comp"))
     open_lists = (
         labelled.groupBy("list")
         .agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n"))
@@ -372,7 +396,7 @@ def shingle_components(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: int =
     if rest.isEmpty():
         final = comp
     else:
-        maps = source.join(rest.select("node").distinct(), "node", "left_semi").select("node", "text")
+        maps = source.join(rest.select("node").distinct(), "node", "left_semi")
         maps = maps.mapInArrow(lambda it: _fetch_bitmaps(it, n, threshold), "node long, size long, bits binary")
         block = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
         # a list of c blocks: block b takes part in the pairs (b, b), (b, x) and (x, b)
@@ -401,9 +425,10 @@ def shingle_components(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: int =
             .distinct(),
             "more",
         )
-        found = verified(more, more.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-        final = materialise(connected_components(links.union(found)), "comp")
+        more = more.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
+        final = materialise(connected_components(links.union(verified(more))), "comp")
     discard(members)
+    tidy(spark)
     # a component's id is the smallest doc_id of its nodes' documents
     named = ids.join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("comp"))
     heads = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
