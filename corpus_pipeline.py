@@ -1,10 +1,78 @@
-"""A corpus pipeline over ``documents``; each stage is one operator of ``vaakya.llm``."""
+"""A corpus pipeline over ``documents``; each stage is one operator of ``vaakya.llm``.
+
+A stage takes the documents its predecessor kept, as rows with the columns of ``documents``,
+and returns the same columns; the last one returns the packing plan.  Stages keep null and
+empty texts apart from what their own decision says of them: language identification rejects
+a text without a letter (null and empty ones too).
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vaakya.llm import exact_mph, langid_rank, packing_cg, pii_bootstrap, sigtree_join
+from vaakya.llm.scratch import materialise
+from vaakya.llm.vocabularies import vocabulary
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is among ``ids``."""
+    return docs.select(*COLUMNS).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have a language; ``und`` goes."""
+    found = langid_rank.classified(docs)
+    return _kept(docs, found.where(F.col("lang_pred") != langid_rank.UNKNOWN))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return _kept(docs, exact_mph.exact_groups(docs).where("kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of each group that links connect."""
+    groups = sigtree_join.shingle_components(docs)
+    return _kept(docs, groups.where("doc_id = component_id"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with personal data replaced by its kind; n_chars follows the text."""
+    found = pii_bootstrap.find(docs, keep=["text", "lang", "source", "n_chars"])
+    spans = pii_bootstrap.all_spans()
+    text = F.when(F.size(spans) > 0, pii_bootstrap.redacted(F.col("text"), spans)).otherwise(F.col("text"))
+    n_chars = F.when(F.size(spans) > 0, F.length("text_new").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("text_new", text).select(
+        "doc_id", F.col("text_new").alias("text"), "lang", "source", n_chars.alias("n_chars")
+    )
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packing plan: one row a piece."""
+    return packing_cg.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("ngram_jaccard_join", near),
+    ("pii", private),
+    ("packing", packed),
+]
+
+#: The stages of models and tokenizers have no SQL; tests hold the stages to brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written to the shared folder before the next reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
