@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vaakya.llm import (
     exact_mph,
@@ -64,7 +65,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_backoff.backoff_scores(_documents(spark, sf_dir))
+    found = lm_backoff.backoff_scores(_documents(spark, sf_dir))
+    # sums of logarithms differ in their last bits by the order of adding
+    return found.withColumns({"log_score": F.round("log_score", 3), "mean_log_score": F.round("mean_log_score", 6)})
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +96,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": _RULES_SQL,
         "op7_exact_dedup": _DEDUP_SQL,
+        "op9_lm_scoring": _BACKOFF_SQL,
     }
 
 
@@ -103,6 +107,20 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
+_BACKOFF_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT r, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS k FROM d),
+p AS (SELECT r, w, lag(w) OVER (PARTITION BY r ORDER BY k) AS v FROM t),
+one AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+two AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w),
+s AS (SELECT p.r, sum(ln(CASE WHEN p.v IS NULL THEN a.c / (SELECT count(*) FROM t) WHEN two.c >= 2 THEN two.c / b.c
+        ELSE 0.4::DOUBLE * (a.c / (SELECT count(*) FROM t)) END)) AS score
+      FROM p JOIN one a ON a.w = p.w LEFT JOIN one b ON b.w = p.v LEFT JOIN two ON two.v = p.v AND two.w = p.w GROUP BY p.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(score, 0), 3) AS log_score,
+       CASE WHEN len(w) > 0 THEN round(score / len(w), 6) END AS mean_log_score
+FROM d LEFT JOIN s USING (r)
+"""
+
 _RULES_SQL = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t,
