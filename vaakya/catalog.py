@@ -433,6 +433,44 @@ def d_spoken_fixture(spark, sf_dir):
     )
 
 
+def _of_type(name: str) -> None:
+    """Register the detector of one type over documents, counted by document and category."""
+    sql = f"{_LINES_SQL} SELECT id AS segment_id, category AS disfluency_category, count(*) AS n FROM found WHERE type = '{name}' GROUP BY 1, 2"
+
+    def detector(spark, sf_dir):
+        found = disfluency.detect(_documents_as_segments(spark, sf_dir)).where(F.col("disfluency_type") == name)
+        return found.groupBy("segment_id", "disfluency_category").agg(F.count("*").alias("n"))
+
+    label = {"filler": "d1", "word_repetition": "d2", "phrase_repetition": "d3", "prolongation": "d4", "false_start": "d6"}[name]
+    detector.__name__ = f"{label}_{name}"
+    query(sql)(detector)
+
+
+for _name in ("filler", "word_repetition", "phrase_repetition", "prolongation", "false_start"):
+    _of_type(_name)
+
+
+_BROKEN = [(k + 1, s) for k, s in enumerate(["wait... what is", "a — b c", "so – no yes", "a.. b c", "a. b. c.", "one two", "one", "  ", "x...", None])]
+
+
+@query(
+    f"""WITH s AS (SELECT id, text, len({_tokens_sql("text")}) AS n FROM {values(_BROKEN)} AS t(id, text))
+    SELECT id, 'interruption_punctuation' AS marker FROM s WHERE n > 0 AND (contains(text, '..') OR contains(text, '—') OR contains(text, '–'))
+    UNION ALL SELECT id, 'very_short_utterance' FROM s WHERE n BETWEEN 1 AND 2"""
+)
+def d5_interruptions(spark, sf_dir):
+    rows = spark.createDataFrame(_BROKEN, "id int, text string").select("id", F.explode(disfluency.detections(F.col("text"))).alias("d"))
+    return rows.where("d.type = 'false_start'").select("id", "d.marker")
+
+
+@query(
+    f"""{_TURNS_SQL}, {_SEGMENTS_SQL.strip().rstrip(",")} SELECT DISTINCT recording_id, recording_id || '_seg_' || printf('%.2f', "start") || '_' || printf('%.2f', "end") || '.wav' AS clip_name
+    FROM segments WHERE "end" > "start" AND recording_id || '_seg' || segment_index IN (SELECT id FROM found)"""
+)
+def d12_batch_clips(spark, sf_dir):
+    return disfluency.clips(disfluency.detect(_turns(spark, sf_dir))).select("recording_id", "clip_name")
+
+
 @query(f"SELECT category, marker FROM {values([(c, m) for c, _, m in disfluency.lexicon_rows()])} AS t(category, marker)")
 def s14_disfluency_lexicon(spark, sf_dir):
     return disfluency.lexicon(spark).select("category", "marker")
@@ -555,6 +593,23 @@ def p3_morphology(spark, sf_dir):
     return spelling.inflections(made, spelling.core_lexicon(spark))
 
 
+@query(f"SELECT suffix, length(suffix)::INTEGER AS n FROM {_SUFFIX_SQL} AS t(suffix)")
+def s13_suffixes(spark, sf_dir):
+    rows = [(x,) for x in dict.fromkeys(fixed.SUFFIXES)]
+    return spark.createDataFrame(rows, "suffix string").select("suffix", F.length("suffix").alias("n"))
+
+
+@query(
+    f"""SELECT count(*) AS total_words, count(*) FILTER (WHERE classification = 'correct_spelling') AS correct_spelling,
+    count(*) FILTER (WHERE classification = 'incorrect_spelling') AS incorrect_spelling,
+    (SELECT string_agg(layer || '=' || n, ',' ORDER BY layer) FROM (SELECT 'layer_' || layer AS layer, count(*) AS n FROM ({_CASCADE_SQL}) GROUP BY 1)) AS layers FROM ({_CASCADE_SQL})"""
+)
+def s16_spelling_summary(spark, sf_dir):
+    found = transcripts.spelling_summary(_cascade(spark, sf_dir))
+    shown = F.array_join(F.transform(F.map_entries("by_layer"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return found.withColumn("layers", shown).drop("by_layer")
+
+
 @query(f"SELECT count(*) AS words, sum(CASE WHEN contains(word, ' ') THEN 1 ELSE 0 END)::BIGINT AS phrases FROM {values([(w,) for w in fixed.core_words()])} AS t(word)")
 def s11_core_lexicon(spark, sf_dir):
     return spelling.core_lexicon(spark).agg(F.count("*").alias("words"), F.count_if(F.contains("word", F.lit(" "))).alias("phrases"))
@@ -670,6 +725,16 @@ def w4_position_lattice(spark, sf_dir):
     return found.withColumn("model_words", F.array_join("model_words", "|")).withColumn("operations", F.array_join(shown, "|"))
 
 
+@query(
+    f"""WITH RECURSIVE {_CELLS_SQL}, keyed AS (SELECT utt_id, ref_pos, model_idx, max(ref_word) AS ref_word, arg_max(word, k) AS word, arg_max(op, k) AS op FROM cells WHERE NOT is_insertion GROUP BY ALL)
+    SELECT utt_id, ref_pos::VARCHAR AS key, lpad(ref_pos::VARCHAR, 8, ' ') || ' | ' || rpad(ref_word, greatest(12, length(ref_word))::INTEGER, ' ') || ' | ' ||
+    string_agg(word, ' | ' ORDER BY model_idx) || ' | ' || string_agg(substr(op, 1, 3), ' | ' ORDER BY model_idx) AS line FROM keyed GROUP BY utt_id, ref_pos, ref_word"""
+)
+def w5_readable_lattice(spark, sf_dir):
+    found = lattice.position_lattice(_lines(spark, sf_dir)).where("NOT is_insertion")
+    return transcripts.lattice_lines(found).select("utt_id", "key", "line")
+
+
 _VOTES_SQL = f"""{_CELLS_SQL},
 voting AS (SELECT utt_id, ref_pos, ref_word, word, count(*) AS n, min(model_idx) AS first FROM cells WHERE NOT is_insertion GROUP BY ALL),
 best AS (SELECT utt_id, ref_pos, any_value(ref_word) AS ref_word, arg_max(word, (n, -first)) FILTER (WHERE word <> '<eps>') AS word, coalesce(max(n) FILTER (WHERE word <> '<eps>'), 0) AS n
@@ -712,6 +777,27 @@ def w10_evaluate_all_models(spark, sf_dir):
     )
 
 
+_REPORT_SQL = f"""WITH RECURSIVE {_LATTICE_SQL}, rates AS (SELECT a.utt_id, a.model_idx,
+    round((length(a.ops) - ({_COUNT.format(x="C").replace("ops", "a.ops")})) / greatest(len(a.ref), 1) * 100, 6) AS s,
+    round((length(b.ops) - ({_COUNT.format(x="C").replace("ops", "b.ops")})) / greatest(len(b.ref), 1) * 100, 6) AS l FROM aligned a JOIN aligned2 b USING (utt_id, model_idx))"""
+
+
+@query(f"{_REPORT_SQL} SELECT utt_id, model_idx::INTEGER AS model_idx, CASE WHEN l < s THEN 'better' WHEN l = s THEN 'same' ELSE 'worse' END AS verdict FROM rates")
+def w11_report(spark, sf_dir):
+    scores, _ = transcripts.lattice_flow(benchmark_utterances(spark, sf_dir))
+    line = F.col("line")
+    verdict = F.when(line.contains("✅"), "better").when(line.contains("─"), "same").otherwise("worse")
+    return transcripts.score_lines(scores).select("utt_id", "model_idx", verdict.alias("verdict"))
+
+
+_RATES = [("base", 81.32, 58.03, 50), ("tuned", 23.5, 11.29, 50)]
+
+
+@query(f"SELECT name, '| ' || name || ' | ' || printf('%.2f', wer) || ' | ' || printf('%.2f', cer) || ' | ' || n || ' |' AS line FROM {values(_RATES)} AS t(name, wer, cer, n)")
+def w13_rate_table(spark, sf_dir):
+    return transcripts.rate_lines(spark.createDataFrame(_RATES, "name string, wer double, cer double, num_samples int"))
+
+
 _ALIGNED = [
     ("A B C", "A B C", "CCC"), ("A B C", "A X C", "CSC"), ("मैं जा रहा हूं", "मैं जाता हूं", "CDSC"), ("a b c d", "a x d", "CDSC"), ("a b", "a b c c", "CCII"),
     ("p q r", "q r s", "DCCI"), ("", "a b", "II"), ("a b", "", "DD"), ("", "", ""),

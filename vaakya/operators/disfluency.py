@@ -206,3 +206,9 @@ def clip_names(segments: DataFrame) -> DataFrame:
         F.col("recording_id").cast("string"), F.lit("_seg_"), fixed_point(F.col("start"), 2), F.lit("_"), fixed_point(F.col("end"), 2), F.lit(".wav")
     )
     return segments.withColumn("clip_name", F.when(both, name))
+
+
+def clips(found: DataFrame) -> DataFrame:
+    """Each clip once: ``recording_id, start, end, clip_name`` of segments with a detection whose times allow one."""
+    times = found.select("recording_id", F.col("start_time").alias("start"), F.col("end_time").alias("end")).distinct()
+    return clip_names(times).where("clip_name is not null")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaakya.functions import fixed
@@ -43,6 +43,17 @@ def evaluation_flow(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return evaluate.summary(lines), evaluate.top_failures(evaluate.failures(lines))
 
 
+def _left(value, width: int) -> Column:
+    """Padded on the right; longer values keep their length."""
+    column = F.col(value) if isinstance(value, str) else value
+    return F.rpad(column, F.greatest(F.lit(width), F.length(column)), F.lit(" "))
+
+
+def _right(value, width: int) -> Column:
+    column = F.col(value) if isinstance(value, str) else value
+    return F.lpad(column, F.greatest(F.lit(width), F.length(column)), F.lit(" "))
+
+
 # --- texts of reports: a few rows, so they are rows too -----------------------------------
 
 
@@ -52,7 +63,7 @@ def score_lines(scores: DataFrame) -> DataFrame:
     sign = F.when(change > 0, F.lit("+")).otherwise(F.lit(""))
     mark = F.when(change < 0, F.lit(" ✅")).when(change == 0, F.lit(" ─")).otherwise(F.lit(""))
     delta = F.concat(F.when(change == 0, F.lit("+")).otherwise(sign), fixed_point(change, 2), F.lit("%"), mark)
-    columns = (F.rpad("name", 25, " "), F.rpad("standard_wer_pct", 15, " "), F.rpad("lattice_wer_pct", 15, " "), F.rpad(delta, 10, " "))
+    columns = (_left("name", 25), _left("standard_wer_pct", 15), _left("lattice_wer_pct", 15), _left(delta, 10))
     return scores.select("utt_id", "model_idx", F.concat_ws(" ", *columns).alias("line"))
 
 
@@ -69,10 +80,21 @@ def rate_lines(results: DataFrame) -> DataFrame:
     return results.select("name", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
+def spelling_summary(verdicts: DataFrame) -> DataFrame:
+    """One row: words, words of each label, and words of each layer as a map in the layers' order."""
+    layers = spelling.by_layer(verdicts).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("layer", "n")))).alias("by_layer"))  # six layers
+    totals = verdicts.agg(
+        F.count("*").alias("total_words"),
+        F.count_if(F.col("classification") == "correct_spelling").alias("correct_spelling"),
+        F.count_if(F.col("classification") == "incorrect_spelling").alias("incorrect_spelling"),
+    )
+    return totals.join(F.broadcast(layers), F.lit(True))
+
+
 def bucket_lines(distribution: DataFrame) -> DataFrame:
     """Duration buckets by label, each with a bar of at most 50 blocks."""
     bar = F.repeat(F.lit("█"), F.least(F.col("n"), F.lit(50)).cast("int"))
-    line = F.concat(F.lpad("bucket", 8, " "), F.lit(": "), F.lpad(F.col("n").cast("string"), 5, " "), F.lit("  "), bar)
+    line = F.concat(_right("bucket", 8), F.lit(": "), _right(F.col("n").cast("string"), 5), F.lit("  "), bar)
     return distribution.select("bucket", line.alias("line")).orderBy("bucket")
 
 
@@ -80,7 +102,7 @@ def lattice_lines(positions: DataFrame) -> DataFrame:
     """A lattice's positions as lines, reference positions and the insertions before them."""
     words = F.concat_ws(" | ", "model_words")
     ops = F.concat_ws(" | ", F.transform("operations", lambda o: F.coalesce(F.left(o, F.lit(3)), F.lit("---"))))
-    line = F.concat_ws(" | ", F.lpad("key", 8, " "), F.rpad("ref_word", 12, " "), words, ops)
+    line = F.concat_ws(" | ", _right("key", 8), _left("ref_word", 12), words, ops)
     return positions.select("utt_id", "ref_pos", "is_insertion", "key", line.alias("line"))
 
 
