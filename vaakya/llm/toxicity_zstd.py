@@ -34,8 +34,8 @@ from vaakya.llm.quality_gbdt import fold, train_sample
 
 #: Labelled texts a model is fitted on at most; those with the smallest hash of doc_id.
 TRAIN_ROWS = 10_000
-ORDINARY_BYTES = 16 << 10
-TOXIC_WORDS = 80
+ORDINARY_BYTES = 48 << 10
+TOXIC_WORDS = 120
 #: Lines the ordinary dictionary is trained on at most.
 ORDINARY_LINES = 30_000
 CUT = 0.5
@@ -97,7 +97,7 @@ class Ruler:
         found = words(text)
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        for word in set(found) - self.known.keys():
+        for word in set(found).difference(self.known):
             self.known[word] = self.distance(word)
         gains = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
         passed = (gains[:, None] >= np.array(LADDER)).sum(0)
