@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaakya.llm import textbuf as tb
-from vaakya.llm.scratch import materialise
+from vaakya.llm.scratch import materialise, tidy
 
 #: Longest n-gram. The exchange of count tables grows by about 1.3 x input with each order.
-ORDER = 2
+ORDER = 3
 MIN_COUNT = 2
 BACKOFF = 0.4
 #: Text of one block, and text whose n-grams one range of hashes holds, about.
@@ -180,6 +180,8 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, least: int = MIN_COUNT,
         lambda it: _ask(it, ranges, order), "block long, range int, n int, keys binary, own binary"
     )
     answers = asked.groupBy("range", "n").applyInPandas(count_range, "block long, range int, n int, counts binary")
+    answers = materialise(answers, "counts")
+    tidy(docs.sparkSession)  # the exchange of n-grams is the largest, and done with
 
     def finish(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):

@@ -110,12 +110,15 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 _BACKOFF_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 t AS (SELECT r, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS k FROM d),
-p AS (SELECT r, w, lag(w) OVER (PARTITION BY r ORDER BY k) AS v FROM t),
+p AS (SELECT r, w, lag(w) OVER (PARTITION BY r ORDER BY k) AS v, lag(w, 2) OVER (PARTITION BY r ORDER BY k) AS u FROM t),
 one AS (SELECT w, count(*) AS c FROM t GROUP BY w),
 two AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w),
-s AS (SELECT p.r, sum(ln(CASE WHEN p.v IS NULL THEN a.c / (SELECT count(*) FROM t) WHEN two.c >= 2 THEN two.c / b.c
-        ELSE 0.4::DOUBLE * (a.c / (SELECT count(*) FROM t)) END)) AS score
-      FROM p JOIN one a ON a.w = p.w LEFT JOIN one b ON b.w = p.v LEFT JOIN two ON two.v = p.v AND two.w = p.w GROUP BY p.r)
+three AS (SELECT u, v, w, count(*) AS c FROM p WHERE u IS NOT NULL GROUP BY u, v, w),
+s2 AS (SELECT p.*, CASE WHEN p.v IS NULL THEN a.c / (SELECT count(*) FROM t) WHEN two.c >= 2 THEN two.c / b.c
+         ELSE 0.4::DOUBLE * (a.c / (SELECT count(*) FROM t)) END AS score
+       FROM p JOIN one a ON a.w = p.w LEFT JOIN one b ON b.w = p.v LEFT JOIN two ON two.v = p.v AND two.w = p.w),
+s AS (SELECT x.r, sum(ln(CASE WHEN x.u IS NULL THEN x.score WHEN three.c >= 2 THEN three.c / c.c ELSE 0.4::DOUBLE * x.score END)) AS score
+      FROM s2 x LEFT JOIN three ON three.u = x.u AND three.v = x.v AND three.w = x.w LEFT JOIN two c ON c.v = x.u AND c.w = x.v GROUP BY x.r)
 SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(score, 0), 3) AS log_score,
        CASE WHEN len(w) > 0 THEN round(score / len(w), 6) END AS mean_log_score
 FROM d LEFT JOIN s USING (r)
