@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_made: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -26,9 +27,21 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    """The application's own folder; the file system deletes it when the driver ends."""
+    folder = f"{shared_root(spark)}/vaakya-{spark.sparkContext.applicationId}"
+    if folder not in _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _made.add(folder)
+    return folder
+
+
 def table_path(spark: SparkSession, label: str) -> str:
     """A fresh path for one intermediate table."""
-    return f"{shared_root(spark)}/vaakya-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -53,10 +66,10 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table of this application, once results were written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
-        f"{shared_root(spark)}/vaakya-{spark.sparkContext.applicationId}"
-    )
+    folder = _folder(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _made.discard(folder)
 
 
 def tidy(spark: SparkSession) -> None:
