@@ -51,6 +51,11 @@ _WORD = re.compile(
 )
 _LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
 
+# Byte-level vocabularies write a byte that prints as itself and each other byte as the next
+# code point from 256.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
 
 class Encoder:
     """ids of whole texts, remembering the ids of words.
@@ -70,13 +75,16 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def learn(self, new: list[bytes]) -> None:
-        found = self.library.encode(" ".join(w.decode("latin-1") for w in new), add_special_tokens=False)
-        ids, of = np.array(found.ids, np.uint32), np.array(found.word_ids, np.int64)
-        lengths = np.bincount(np.unique(of, return_inverse=True)[1], minlength=len(new))
-        if len(lengths) != len(new):  # never met; the library then splits the words itself
-            each = [self.library.encode(w.decode("latin-1"), add_special_tokens=False).ids for w in new]
-            ids, lengths = np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each])
-        self.memo.add(new, ids, lengths)
+        """Ids of words from the library's model, past its bookkeeping of offsets."""
+        merge, ids, lengths = self.library.model.tokenize, [], []
+        for word in new:
+            # the model reads bytes as characters; letters and digits of ASCII stand for themselves
+            plain = word.isalnum() and word.isascii()
+            text = word.decode() if plain else word.decode("latin-1").encode().decode("latin-1").translate(_BYTES)
+            found = merge(text)
+            ids += [t.id for t in found]
+            lengths.append(len(found))
+        self.memo.add(new, np.array(ids, np.uint32), np.array(lengths, np.int64))
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         if len(self.memo) > CACHE_WORDS:
@@ -88,8 +96,8 @@ class Encoder:
                 split.append(None if b"<|" in plain else _WORD.findall(plain.translate(_LOWER)))
             except UnicodeEncodeError:
                 split.append(None)
-        if new := list({w for s in split if s for w in s} - self.memo.index.keys()):
-            self.learn(new)
+        if new := set().union(*filter(None, split)).difference(self.memo.index):
+            self.learn(list(new))
         for text, words in zip(texts, split):
             yield self.whole(text) if words is None else self.memo.gather(words)
 
