@@ -46,12 +46,12 @@ def suffix_array(points: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order of their first ``depth`` code points, by doubling."""
     rank = np.unique(points, return_inverse=True)[1].astype(np.int64)
     n, width = len(points), 1
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while width < depth:
         second = np.zeros(n, np.int64)
         second[: n - width] = rank[width:] + 1
         key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         if new[-1] == rank.max() and width > 1:
@@ -109,7 +109,7 @@ class Vocabulary:
         rows = np.repeat(np.arange(len(counts)), counts)
         at = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(len(rows))
         start = order[at]
-        by = np.argsort(start, kind="stable")
+        by = np.argsort(start)
         start, rows = start[by], rows[by]
         return start, start + self.piece_length[rows], rows
 
@@ -222,7 +222,7 @@ class Codec:
         if len(self.memo) > CACHE_CHUNKS:
             self.memo = Memo()
         split = [_CHUNK.findall((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
-        new = list({c for s in split for c in s} - self.memo.index.keys())
+        new = list(set().union(*split).difference(self.memo.index))
         lo = 0
         while lo < len(new):
             hi, size = lo, 0
