@@ -236,6 +236,16 @@ def test_transcripts_keep_valid_rows(spark):
     assert [(r["recording_id"], r["segment_index"], r["start"], r["end"], r["speaker_id"], r["text"]) for r in got] == [("a", 0, 1.5, 1.0, 2, "x")]
 
 
+def test_transcripts_are_named_by_their_files(spark, tmp_path):
+    (tmp_path / "rec7_transcription.json").write_text(json.dumps([{"start": 0, "end": 1.5, "text": "um hello there"}]))
+    (row,) = io.read_transcripts(spark, str(tmp_path)).collect()
+    assert (row["recording_id"], row["segment_index"], row["end"], row["text"]) == ("rec7", 0, 1.5, "um hello there")
+    files = spark.createDataFrame([("rec7", json.dumps([{"start": 0, "end": 1.5, "text": "um hello there"}, {"start": 2, "end": 2.1, "text": "x"}]))], "recording_id string, content string")
+    recordings = spark.createDataFrame([("rec7", "a.wav", 9.0)], "recording_id string, audio_path string, audio_duration double")
+    valid, rejected, health = transcripts.manifest_flow(files, recordings)
+    assert valid.count() == 1 and rejected.first()["reason_code"] == "too_short" and health.first()["acceptance_percent"] == 50.0
+
+
 def test_word_lists(spark, tmp_path):
     words = ["b", "a", "b", " c "]
     (tmp_path / "w.txt").write_text("\n".join([*words, "", " "]))
