@@ -386,12 +386,14 @@ def shingle_components(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: int =
         comp = materialise(connected_components(links), "comp")
         tidy(spark)
     labelled = members.join(comp, "node", "left").select("list", "node", F.coalesce("component", "node").alias("comp"))
-    open_lists = (
-        labelled.groupBy("list")
-        .agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n"))
-        .where("a < b")
-        .select("list", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("cuts"))
+    tested = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    spans = labelled.groupBy("list").agg(
+        F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("n")
     )
+    spans = spans.where("a < b").select("list", "u", "v", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("cuts"), "n")
+    # a list of two nodes holds one pair, and a hub's round may have tested it
+    pairs_left = spans.where("n = 2").join(tested, ["u", "v"], "left_anti").select("list", "cuts")
+    open_lists = spans.where("n > 2").select("list", "cuts").union(pairs_left)
     rest = materialise(labelled.join(open_lists, "list"), "rest")
     if rest.isEmpty():
         final = comp
@@ -425,7 +427,7 @@ def shingle_components(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: int =
             .distinct(),
             "more",
         )
-        more = more.join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
+        more = more.join(tested, ["u", "v"], "left_anti")
         final = materialise(connected_components(links.union(verified(more))), "comp")
     discard(members)
     tidy(spark)
