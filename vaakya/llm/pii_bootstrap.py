@@ -1,10 +1,10 @@
 """Personal data by bootstrapped contextual extraction, in SQL functions alone.
 
-Seeds are what four patterns find (email, ip, card, phone).  The word before a seed and the
-seed's shape make a lexical pattern; tokens that look like identifiers but are no seed are
-candidates under the same kind of pattern.  Patterns and instances form a bipartite graph
-that is scored in rounds: a pattern is as good as the instances it goes with, an instance as
-good as its patterns.  Candidates under a pattern of high confidence, which at least
+Seeds are what four patterns find (email, ip, card, phone).  The word before a seed makes a
+lexical pattern; tokens that look like identifiers and touch neither a seed nor a number that
+its kind's check refused are candidates under the same kind of pattern.  Patterns and
+instances form a bipartite graph that is scored in rounds: a pattern is as good as the
+instances it goes with, an instance as good as its patterns.  Candidates under a pattern of high confidence, which at least
 MIN_SEEDS different seeds support, become spans of kind ``id``.
 
 Matches are leftmost and do not overlap.  The patterns below state the same matches as the
@@ -76,17 +76,23 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _of_kind(hits: Column, kind: str, rank: int) -> Column:
-    """Valid matches as struct<start, rank, end, kind, found, left>."""
+def _refused(kind: str, x: Column) -> Column:
+    """Whether a match that is not valid has the form of its kind all the same."""
+    return {"ip": F.lit(True), "card": F.length(_digits(x)).between(12, 19)}.get(kind, F.lit(False))
 
-    def named(s: Column) -> Column:
-        return F.struct(s["start"], F.lit(rank).alias("rank"), s["end"], F.lit(kind).alias("kind"), s["found"], s["left"])
 
-    return F.transform(F.filter(hits, lambda s: _valid(kind, s["found"])), named)
+def _of_kind(hits: Column, kind: str, rank: int) -> Column:
+    """Valid and refused matches as struct<start, rank, end, kind, found, left, valid>."""
+    return F.transform(
+        F.filter(hits, lambda s: _valid(kind, s["found"]) | _refused(kind, s["found"])),
+        lambda s: F.struct(
+            s["start"], F.lit(rank).alias("rank"), s["end"], F.lit(kind).alias("kind"), s["found"], s["left"], _valid(kind, s["found"]).alias("valid")
+        ),
+    )
 
 
-def base_spans(text: Column) -> Column:
-    """Spans of the four kinds, by start and then kind: struct<start, rank, end, kind, found, left>."""
+def matches(text: Column) -> Column:
+    """Matches of the four kinds, valid and refused, by start and then kind."""
     empty = F.array().cast("array<struct<start:bigint,end:bigint,found:string,left:string>>")
     # what a text must have for a kind at all spares most texts the search
     needs = {
@@ -102,8 +108,8 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def candidates(text: Column, spans: Column) -> Column:
-    """Identifier-like tokens that touch none of the spans."""
+def _candidates(text: Column, spans: Column) -> Column:
+    """Identifier-like tokens that touch none of the spans: what a check refused stays out too."""
     empty = F.array().cast("array<struct<start:bigint,end:bigint,found:string,left:string>>")
     hits = F.when(text.rlike("[0-9]"), _found(text, TOKEN)).otherwise(empty)
     clear = lambda c: ~F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
@@ -158,8 +164,9 @@ def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = keep or []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").alias("_id"), text.alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    base = base.withColumn("base", base_spans(F.col("_text"))).withColumn("others", candidates(F.col("_text"), F.col("base")))
-    found = materialise(base.drop("_text").withColumn("_row", F.monotonically_increasing_id()), "found")
+    base = base.withColumn("_hits", matches(F.col("_text")))
+    base = base.withColumns({"base": F.filter("_hits", lambda s: s["valid"]), "others": _candidates(F.col("_text"), F.col("_hits"))})
+    found = materialise(base.drop("_text", "_hits").withColumn("_row", F.monotonically_increasing_id()), "found")
     edges = materialise(_edges(found), "edges")
     good = score_patterns(edges).where((F.col("confidence") >= CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS)).select("pattern")
     others = found.where(F.size("others") > 0).select("_row", F.explode("others").alias("s"))
