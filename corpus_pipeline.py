@@ -3,7 +3,9 @@
 A stage takes the documents its predecessor kept, as rows with the columns of ``documents``,
 and returns the same columns; the last one returns the packing plan.  Stages keep null and
 empty texts apart from what their own decision says of them: language identification rejects
-a text without a letter (null and empty ones too).
+a text without a letter (null and empty ones too).  A row without a doc_id passes language
+identification and is left out by exact dedup, which tells rows by their ids; rows that repeat
+a doc_id stay or go together.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language; ``und`` goes."""
-    found = langid_rank.classified(docs)
-    return _kept(docs, found.where(F.col("lang_pred") != langid_rank.UNKNOWN))
+    found = langid_rank.tagged(docs.select(*COLUMNS), langid_rank.learn_folds(docs))
+    return found.where(F.col("lang_pred") != langid_rank.UNKNOWN).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group that links connect."""
+    """One document, the smallest doc_id, of each group that links connect.
+
+    Shingles of three words and a similarity of 0.9, as the operator's own contract has them.
+    """
     groups = sigtree_join.shingle_components(docs)
     return _kept(docs, groups.where("doc_id = component_id"))
 

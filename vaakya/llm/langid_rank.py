@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vaakya.llm import textbuf as tb
 from vaakya.llm.quality_gbdt import fold
@@ -140,17 +141,26 @@ def _predict(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> Iterator[
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+def tagged(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """``docs`` as it is, with lang_pred and score; it must not have columns of these names."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(lambda it: _predict(it, profiles), schema)
+
+
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """doc_id, lang_pred and score of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(lambda it: _predict(it, profiles), "doc_id long, text string, lang_pred string, score double")
-    return found.select("doc_id", "lang_pred", "score")
+    return tagged(texts, profiles).select("doc_id", "lang_pred", "score")
+
+
+def learn_folds(docs: DataFrame) -> Profiles:
+    """Profiles of the rows outside the held-out fold."""
+    return learn(docs, fold(F.col("doc_id"), 4) != 2)
 
 
 def classified(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from rows outside the held-out fold."""
-    profiles = learn(docs, fold(F.col("doc_id"), 4) != 2)
-    return identify(docs, profiles).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs, learn_folds(docs)).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
