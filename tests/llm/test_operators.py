@@ -300,6 +300,15 @@ def test_pii_patterns_discover(spark):
     assert got[50] == "id:12:23" and got[51] == "" and got[0] == "email:15:38"
 
 
+def test_pii_common_words_are_no_patterns(spark):
+    seeds = [(k, f"ask the user{k}@mail{k}.example.com") for k in range(6)]
+    common = [(100 + k, "the end of the day is the best part of the week and the rest " * 5) for k in range(6)]
+    docs = spark.createDataFrame([*seeds, *common, (50, "see the agent007700 there")], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in pii_bootstrap.report(docs).collect()}[50] == ""
+    few = docs.where("doc_id < 100")
+    assert {r["doc_id"]: r["spans"] for r in pii_bootstrap.report(few).collect()}[50] == "id:8:19"
+
+
 def test_pii_long_runs(spark, empty):
     texts = ["a" * 60_000, "1" * 60_000, "a." * 30_000 + "@", "1." * 30_000, "a@b" + ".c" * 30_000, "1 " * 20_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -4,8 +4,10 @@ Seeds are what four patterns find (email, ip, card, phone).  The word before a s
 lexical pattern; tokens that look like identifiers and touch neither a seed nor a number that
 its kind's check refused are candidates under the same kind of pattern.  Patterns and
 instances form a bipartite graph that is scored in rounds: a pattern is as good as the
-instances it goes with, an instance as good as its patterns.  Candidates under a pattern of high confidence, which at least
-MIN_SEEDS different seeds support, become spans of kind ``id``.
+instances it goes with, an instance as good as its patterns.  A pattern must also be lexical:
+of all places where its word stands, whatever follows, a share of LEXICAL goes with seeds, so
+common words are never patterns.  Candidates under a pattern of high confidence, which at
+least MIN_SEEDS different seeds support, become spans of kind ``id``.
 
 Matches are leftmost and do not overlap.  The patterns below state the same matches as the
 plain ones in their comments, but start only where a run starts (or where the last match
@@ -24,8 +26,11 @@ from vaakya.llm.scratch import materialise
 from vaakya.llm.sqlarrays import let, prefix_sums
 
 KINDS = ("email", "ip", "card", "phone")
+# [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+# [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+# [0-9]([\x20-]?[0-9])+
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: An identifier by its looks: letters, a digit, and at least five more.
@@ -34,6 +39,7 @@ TOKEN = r"(?:\G|(?<![A-Za-z0-9]))[A-Za-z]*+[0-9][A-Za-z0-9_-]{5,}+"
 ROUNDS = 3
 MIN_SEEDS = 3
 CONFIDENCE = 0.8
+LEXICAL = 0.05
 #: How many characters before a span its context word is looked for in.
 REACH = 48
 
@@ -134,13 +140,14 @@ def _edges(found: DataFrame) -> DataFrame:
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, confidence, seeds.  Seeds hold a score of 1; other instances start at 0.
+    """pattern, confidence, seeds (different ones) and seed_places.  Seeds hold a score of 1; others start at 0.
 
     A round: a pattern's confidence is the mean score of its occurrences; an instance's score
     is the mean confidence of its patterns, by occurrences.
     """
     score = F.col("seed").cast("double")
-    seeds = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"))
+    places = F.sum(F.col("seed") * F.col("count")).alias("seed_places")
+    seeds = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"), places)
     now = edges.withColumn("score", score)
     for k in range(rounds):
         patterns = now.groupBy("pattern").agg((F.sum(F.col("score") * F.col("count")) / F.sum("count")).alias("confidence"))
@@ -159,6 +166,14 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return patterns.join(seeds, "pattern")
 
 
+def lexical(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Patterns whose word stands before seeds in a share of LEXICAL of all its places."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = docs.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("pattern"))
+    places = found.groupBy("pattern").agg(F.count("*").alias("places"))
+    return patterns.join(places, "pattern").where(F.col("seed_places") >= LEXICAL * F.col("places"))
+
+
 def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row a document: doc_id, ``base`` and ``extra`` span arrays, and the columns of ``keep``."""
     keep = keep or []
@@ -168,7 +183,8 @@ def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     base = base.withColumns({"base": F.filter("_hits", lambda s: s["valid"]), "others": _candidates(F.col("_text"), F.col("_hits"))})
     found = materialise(base.drop("_text", "_hits").withColumn("_row", F.monotonically_increasing_id()), "found")
     edges = materialise(_edges(found), "edges")
-    good = score_patterns(edges).where((F.col("confidence") >= CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS)).select("pattern")
+    sure = score_patterns(edges).where((F.col("confidence") >= CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS))
+    good = lexical(docs, materialise(sure, "patterns")).select("pattern")
     others = found.where(F.size("others") > 0).select("_row", F.explode("others").alias("s"))
     others = others.select("_row", "s", pattern_of(F.col("s")).alias("pattern"))
     extra = (
