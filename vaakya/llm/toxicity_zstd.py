@@ -34,10 +34,10 @@ from vaakya.llm.quality_gbdt import fold, train_sample
 
 #: Labelled texts a model is fitted on at most; those with the smallest hash of doc_id.
 TRAIN_ROWS = 10_000
-ORDINARY_BYTES = 48 << 10
-TOXIC_WORDS = 120
-#: Lines the ordinary dictionary is trained on at most.
-ORDINARY_LINES = 30_000
+ORDINARY_BYTES = 64 << 10
+TOXIC_WORDS = 100
+#: Samples the ordinary dictionary is trained on at most, each a line or a part of a long one.
+ORDINARY_LINES, SAMPLE_BYTES = 30_000, 400
 CUT = 0.5
 CACHE_WORDS = 400_000
 
@@ -134,11 +134,12 @@ def train(texts: list[str | None], labels: list[int]) -> Model | None:
         return None
     scored = [(_telling(w, seen[1], seen[0], sizes[1], sizes[0]), w) for w, n in seen[1].items() if n >= min(3, sizes[1])]
     telling = [w for s, w in sorted(scored, key=lambda x: (-x[0], x[1]))[:TOXIC_WORDS] if s > 0]
-    lines = [b" " + b" ".join(words(line)) + b" " for t, y in zip(texts, labels) if not y for line in (t or "").split("\n")]
+    whole = [b" " + b" ".join(words(line)) + b" " for t, y in zip(texts, labels) if not y for line in (t or "").split("\n")]
+    lines = [x[k : k + SAMPLE_BYTES] for x in whole for k in range(0, len(x), SAMPLE_BYTES)]
     # the same lines for the same texts, in an order that mixes documents
     lines = [lines[k] for k in np.random.default_rng(0).permutation(len(lines))[:ORDINARY_LINES]]
     try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES, [x[:400] for x in lines], k=24, d=6, level=3).as_bytes()
+        base = zstandard.train_dictionary(ORDINARY_BYTES, lines, k=24, d=6, level=3).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself serves
         base = b"".join(lines)[:ORDINARY_BYTES]
     marks = _MARK + b" the of  and "
