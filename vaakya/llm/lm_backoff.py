@@ -37,7 +37,7 @@ ORDER = 3
 MIN_COUNT = 2
 BACKOFF = 0.4
 #: Text of one block, and text whose n-grams one range of hashes holds, about.
-BLOCK_TEXT = 24 << 20
+BLOCK_TEXT = 12 << 20
 RANGE_TEXT = 4 << 20
 
 BLOCK_SCHEMA = "block long, words long, n_bytes long, docs binary"
@@ -110,24 +110,21 @@ def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted(keys, np.array([min(k * width, (1 << 64) - 1) for k in range(ranges)], np.uint64)).tolist() + [len(keys)]
 
 
-def _ask(batches: Iterator[pa.RecordBatch], ranges: int, order: int) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], ranges: int, n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, docs in zip(batch.column("block").to_pylist(), batch.column("docs")):
-            made = Block(docs.as_py())
-            for n in range(1, order + 1):
-                keys, counts = np.unique(made.grams(n), return_counts=True)
-                cuts = _ranges(keys, ranges)
-                rows = [k for k in range(ranges) if cuts[k] < cuts[k + 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block] * len(rows), pa.int64()),
-                        pa.array(rows, pa.int32()),
-                        pa.array([n] * len(rows), pa.int32()),
-                        pa.array([pack_sorted(keys[cuts[k] : cuts[k + 1]]) for k in rows], pa.binary()),
-                        pa.array([_small(counts[cuts[k] : cuts[k + 1]]) for k in rows], pa.binary()),
-                    ],
-                    ["block", "range", "n", "keys", "own"],
-                )
+            keys, counts = np.unique(Block(docs.as_py()).grams(n), return_counts=True)
+            cuts = _ranges(keys, ranges)
+            rows = [k for k in range(ranges) if cuts[k] < cuts[k + 1]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([block] * len(rows), pa.int64()),
+                    pa.array(rows, pa.int32()),
+                    pa.array([pack_sorted(keys[cuts[k] : cuts[k + 1]]) for k in rows], pa.binary()),
+                    pa.array([_small(counts[cuts[k] : cuts[k + 1]]) for k in rows], pa.binary()),
+                ],
+                ["block", "range", "keys", "own"],
+            )
 
 
 def _small(counts: np.ndarray) -> bytes:
@@ -141,7 +138,7 @@ def _large(data: bytes) -> np.ndarray:
 
 
 def count_range(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Corpus counts of one range of one order, for each block that asked."""
+    """Corpus counts of one range of n-grams, for each block that asked."""
     asked = [unpack_sorted(x) for x in pdf["keys"]]
     own = np.concatenate([_large(x) for x in pdf["own"]])
     keys, at = np.unique(np.concatenate(asked), return_inverse=True)
@@ -149,7 +146,7 @@ def count_range(pdf: pd.DataFrame) -> pd.DataFrame:
     np.add.at(counts, at, own)
     ends = np.cumsum([len(x) for x in asked])
     answers = [_small(counts[at[e - len(x) : e]]) for x, e in zip(asked, ends)]
-    return pd.DataFrame({"block": pdf["block"], "range": pdf["range"], "n": pdf["n"], "counts": answers})
+    return pd.DataFrame({"block": pdf["block"], "range": pdf["range"], "counts": answers})
 
 
 def score_block(block: Block, counts: dict[int, np.ndarray], words: int, order: int, least: int, backoff: float) -> np.ndarray:
@@ -176,12 +173,19 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, least: int = MIN_COUNT,
     blocks = materialise(texts.mapInArrow(_to_blocks, BLOCK_SCHEMA), "blocks")
     size = blocks.agg(F.sum("n_bytes").alias("n_bytes"), F.sum("words").alias("words")).first()
     words, ranges = size["words"] or 0, max(1, -(-(size["n_bytes"] or 0) // RANGE_TEXT))
-    asked = blocks.select("block", "docs").mapInArrow(
-        lambda it: _ask(it, ranges, order), "block long, range int, n int, keys binary, own binary"
-    )
-    answers = asked.groupBy("range", "n").applyInPandas(count_range, "block long, range int, n int, counts binary")
-    answers = materialise(answers, "counts")
-    tidy(docs.sparkSession)  # the exchange of n-grams is the largest, and done with
+
+    def counted(n: int) -> DataFrame:
+        """Counts of the n-grams of order n for each block; the exchange is done with when it returns."""
+        asked = blocks.select("block", "docs").mapInArrow(lambda it: _ask(it, ranges, n), "block long, range int, keys binary, own binary")
+        counts = asked.groupBy("range").applyInPandas(count_range, "block long, range int, counts binary")
+        return materialise(counts.withColumn("n", F.lit(n)), "counts")
+
+    # one order after the other: the largest exchange is then that of one order
+    answers = counted(1)
+    for n in range(2, order + 1):
+        tidy(docs.sparkSession)
+        answers = answers.union(counted(n))
+    tidy(docs.sparkSession)
 
     def finish(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
