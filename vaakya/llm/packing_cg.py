@@ -35,8 +35,9 @@ from vaakya.llm.scratch import materialise
 
 SEQUENCE = 2048
 END_ID = 1
-#: Columns that are generated at most; the program is feasible after each.
-MAX_COLUMNS = 600
+#: Columns that are generated at most; the program is feasible after each.  Pieces that its
+#: patterns leave are packed after it, so more columns cost the driver time and change little.
+MAX_COLUMNS, GAP = 200, 1e-3
 #: Words of which a task remembers the ids before it starts anew.
 CACHE_WORDS = 400_000
 
@@ -124,14 +125,17 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, sequence: int, end_id:
 
 def knapsack(values: np.ndarray, capacity: int) -> np.ndarray:
     """How many of each length make the most valuable filling; values[k] is of length k + 1."""
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    lengths = np.flatnonzero(values > 0) + 1
+    worth = values[lengths - 1]
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
+    best, took = np.zeros(capacity + 1), [0] * (capacity + 1)
     for c in range(1, capacity + 1):
-        gain = best[c - 1 :: -1][: len(values)] + values[:c]
-        k = int(gain.argmax())
-        if gain[k] > best[c - 1] + 1e-12:
-            best[c], took[c] = gain[k], k + 1
-        else:
-            best[c], took[c] = best[c - 1], 0
+        best[c] = best[c - 1]
+        if n := fitting[c]:
+            gain = best[c - lengths[:n]] + worth[:n]
+            k = int(gain.argmax())
+            if gain[k] > best[c] + 1e-12:
+                best[c], took[c] = gain[k], int(lengths[k])
     pattern, c = np.zeros(len(values), np.int64), capacity
     while c > 0:
         if took[c]:
@@ -153,10 +157,11 @@ def linear_program(lengths: np.ndarray, demand: np.ndarray, capacity: int, most:
         values = np.zeros(int(lengths.max()))
         values[lengths - 1] = duals
         column = knapsack(values, capacity)[lengths - 1]
-        gain = float(duals @ column) - 1
-        if gain < 1e-7:
+        held = np.flatnonzero(column)
+        gain = float(duals[held] @ column[held]) - 1
+        if gain < GAP:  # the program's value is within this share of its least
             break
-        direction = inverse @ column
+        direction = inverse[:, held] @ column[held].astype(float)
         rows = np.flatnonzero(direction > 1e-9)
         r = rows[np.argmin(times[rows] / direction[rows])]
         step = times[r] / direction[r]
