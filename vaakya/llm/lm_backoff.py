@@ -37,7 +37,7 @@ ORDER = 3
 MIN_COUNT = 2
 BACKOFF = 0.4
 #: Text of one block, and text whose n-grams one range of hashes holds, about.
-BLOCK_TEXT = 12 << 20
+BLOCK_TEXT = 8 << 20
 RANGE_TEXT = 4 << 20
 
 BLOCK_SCHEMA = "block long, words long, n_bytes long, docs binary"
@@ -79,6 +79,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size >= BLOCK_TEXT:
             yield row(held)
             held, size, made = [], 0, made + 1
+            tb.trim()
     if held:
         yield row(held)
 
@@ -125,6 +126,8 @@ def _ask(batches: Iterator[pa.RecordBatch], ranges: int, n: int) -> Iterator[pa.
                 ],
                 ["block", "range", "keys", "own"],
             )
+            del keys, counts
+            tb.trim()
 
 
 def _small(counts: np.ndarray) -> bytes:
@@ -196,13 +199,13 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, least: int = MIN_COUNT,
         for n in range(1, order + 1):
             parts = [_large(x) for x in right.loc[right["n"] == n, "counts"]]
             counts[n] = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array(block.ids, "Int64"),
-                "n_words": block.sizes.astype(np.int64),
-                "log_score": score_block(block, counts, words, order, least, backoff),
-            }
+        scores = score_block(block, counts, words, order, least, backoff)
+        found = pd.DataFrame(
+            {"doc_id": pd.array(block.ids, "Int64"), "n_words": block.sizes.astype(np.int64), "log_score": scores}
         )
+        del block, counts, left, right
+        tb.trim()
+        return found
 
     scored = (
         blocks.select("block", "docs")

@@ -7,6 +7,7 @@ splitting UTF-8 bytes and splitting code points give the same words.  Word hashe
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator
 
@@ -117,4 +118,11 @@ def chain(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def trim() -> None:
+    """Give freed memory back to the system, which the allocator of a reused worker keeps otherwise."""
+    pa.default_memory_pool().release_unused()
+    if release := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        release(0)
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
