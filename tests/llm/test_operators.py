@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from math import log
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,43 @@ def test_toxicity_held_out(spark):
     assert both[both.toxic == 0].predicted.mean() < 0.01
 
 
+def toxic_recall(rows):
+    train, held = rows[: len(rows) * 3 // 4], rows[len(rows) * 3 // 4 :]
+    model = toxicity_zstd.train([t for t, _ in train], [y for _, y in train])
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(held))), "text": [t for t, _ in held]})
+    flags = [x for b in toxicity_zstd._score(iter([batch]), model, 0.5) for x in b.column("predicted").to_pylist()]
+    caught = [f for f, (_, y) in zip(flags, held) if y]
+    return sum(caught) / len(caught), sum(f for f, (_, y) in zip(flags, held) if not y) / (len(held) - len(caught))
+
+
+def test_toxicity_of_a_wide_vocabulary(rng):
+    """More toxic words than any short list holds, each in few texts."""
+    syllables = "ka lo mi ren tu sa vor el pin da qu esh bra non tel".split()
+    word = lambda n: "".join(rng.choices(syllables, k=n))
+    plain, bad = [word(rng.randint(1, 3)) for _ in range(1500)], [word(4) for _ in range(400)]
+    rows = [(" ".join(rng.choices(plain, k=116) + rng.choices(plain if k % 4 else bad, k=4)), int(k % 4 == 0)) for k in range(1500)]
+    recall, false = toxic_recall(rows)
+    assert recall > 0.85 and false < 0.02
+
+
+def test_toxicity_of_phrases(rng):
+    """Toxic texts hold phrases of words that ordinary texts hold as often, apart."""
+    vocab = ["w" + "".join(rng.choices("abcdefghij", k=4)) for _ in range(600)]
+    told, rows = [rng.choices(vocab, k=3) for _ in range(20)], []
+    for k in range(1200):
+        w = rng.choices(vocab, k=120)
+        for phrase in rng.choices(told, k=4):
+            at = rng.randrange(len(w))
+            if k % 4 == 0:
+                w[at : at + 3] = phrase
+            else:
+                for x in phrase:
+                    w[rng.randrange(len(w))] = x
+        rows.append((" ".join(w), int(k % 4 == 0)))
+    recall, false = toxic_recall(rows)
+    assert recall > 0.9 and false < 0.02
+
+
 def test_classifiers_at_the_edges(spark, edges, empty):
     labels = spark.createDataFrame([(3, 1, 0), (8, 0, 1), (9, None, None), (None, 1, 1)], LABELS)
     none = spark.createDataFrame([], LABELS)

@@ -1,12 +1,15 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-The ordinary dictionary is trained on ordinary training texts.  The toxic one is trained on
-the words of toxic texts that a likelihood-ratio test tells apart from ordinary ones, and
-also carries the ordinary dictionary's content, so the two disagree on toxic text alone.
-A window is one word within fixed contexts both dictionaries know; its distance is by how
+The ordinary dictionary is trained on ordinary training texts.  The toxic one is made of the
+words and phrases (two or three words) of toxic texts that a likelihood-ratio test tells
+apart from ordinary ones, as many as pass it, and also carries the ordinary dictionary's
+content, so the two disagree on toxic text alone.  How high the ratio must be, and how many
+times as frequent the item, is chosen on training texts they were not learned from.  A window is one word, or a phrase the toxic
+dictionary was made with, within fixed contexts both dictionaries know; its distance is by how
 many bytes the toxic dictionary makes it shorter, summed over the contexts, which makes the
 scale finer than whole bytes of one frame.  A document's windows are compared with a ladder of
-thresholds, and a logistic model calibrates how many windows pass each.
+thresholds, and a logistic model calibrates how many windows pass each; it is fitted on
+distances by dictionaries that were not made from the text at hand.
 
 Null and empty texts and texts without a letter have no window and get the score of that
 case.  Without training rows of both kinds every score is 0.  Repeated rows are scored alike.
@@ -20,6 +23,7 @@ import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from math import log
 
 import numpy as np
@@ -35,7 +39,12 @@ from vaakya.llm.quality_gbdt import fold, train_sample
 #: Labelled texts a model is fitted on at most; those with the smallest hash of doc_id.
 TRAIN_ROWS = 10_000
 ORDINARY_BYTES = 64 << 10
-TOXIC_WORDS = 100
+#: Texts are dealt to so many parts; what a part's texts are measured by is learned from the others.
+FOLDS = 4
+#: Likelihood ratios, and how many times as frequent in toxic texts, from which a word or
+#: phrase may tell toxic texts; training takes the best pair.
+LEVELS = (1, 2, 3, 4, 6, 8, 11, 15, 20, 30, 45, 70)
+TIMES = (1, 2, 4, 8)
 #: Samples the ordinary dictionary is trained on at most, each a line or a part of a long one.
 ORDINARY_LINES, SAMPLE_BYTES = 30_000, 400
 CUT = 0.5
@@ -56,7 +65,7 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     how = zstandard.ZstdCompressionParameters(
         format=zstandard.FORMAT_ZSTD1_MAGICLESS,
-        window_log=17,
+        window_log=max(17, (len(content) + 4096).bit_length()),
         chain_log=17,
         hash_log=17,
         search_log=6,
@@ -77,6 +86,7 @@ class Model:
 
     ordinary: bytes
     toxic: bytes
+    phrases: frozenset[bytes]
     shift: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -85,8 +95,8 @@ class Model:
 class Ruler:
     """Distances of windows under two dictionaries, remembered by word."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes) -> None:
-        self.plain, self.toxic = _compressor(ordinary), _compressor(toxic)
+    def __init__(self, ordinary: bytes, toxic: bytes, phrases: frozenset[bytes] = frozenset()) -> None:
+        self.plain, self.toxic, self.phrases = _compressor(ordinary), _compressor(toxic), phrases
         self.known: dict[bytes, int] = {}
 
     def distance(self, word: bytes) -> int:
@@ -95,6 +105,8 @@ class Ruler:
 
     def describe(self, text: str | None) -> np.ndarray:
         found = words(text)
+        if self.phrases:
+            found += [x for x in phrases(found) if x in self.phrases]
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         for word in set(found).difference(self.known):
@@ -124,16 +136,66 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return shift, scale, w
 
 
+def phrases(found: list[bytes]) -> Iterator[bytes]:
+    """Two and three words that follow each other."""
+    return map(b" ".join, chain(zip(found, found[1:]), zip(found, found[1:], found[2:])))
+
+
+def _telling_items(lists: list[list[bytes]], labels: list[int]) -> list[tuple[float, float, bytes]]:
+    """Words and phrases of toxic texts by likelihood ratio, best first; a phrase only if it tells more than its words."""
+    sizes = [len(labels) - sum(labels), sum(labels)]
+    of = [Counter(), Counter()]
+    for found, label in zip(lists, labels):
+        if label:
+            of[1].update({*found, *phrases(found)})
+    # a phrase of one toxic text alone tells nothing that its words don't
+    of[1] = Counter({x: n for x, n in of[1].items() if n > 1 or b" " not in x})
+    for found, label in zip(lists, labels):
+        if not label:
+            of[0].update(of[1].keys() & {*found, *phrases(found)})
+    scores = {x: _telling(x, of[1], of[0], sizes[1], sizes[0]) for x in of[1]}
+    times = lambda x: (of[1][x] + 0.5) * sizes[0] / ((of[0][x] + 0.5) * max(sizes[1], 1))
+    told = [(v, times(x), x) for x, v in scores.items() if v > 0 and (b" " not in x or v > max(scores.get(w, 0) for w in x.split(b" ")))]
+    return sorted(told, key=lambda x: (-x[0], x[2]))
+
+
+def _dealt(labels: list[int]) -> list[int]:
+    """The fold of each text; each fold gets its share of both kinds."""
+    seen, out = Counter(), []
+    for label in labels:
+        out.append(seen[label] % FOLDS)
+        seen[label] += 1
+    return out
+
+
+def _level(lists: list[list[bytes]], labels: list[int], parts: list[list[tuple[float, float, bytes]]]) -> tuple[int, int]:
+    """From which ratio, and how many times as frequent, items tell toxic texts best that they were not learned from."""
+    y, part, best = np.array(labels, np.float64), _dealt(labels), (np.inf, LEVELS[-1], TIMES[-1])
+    rank = [{x: (v, times) for v, times, x in told} for told in parts]
+    met = [[h for x in chain(found, phrases(found)) if (h := rank[part[k]].get(x))] for k, found in enumerate(lists)]
+    of = np.repeat(np.arange(len(met)), [len(m) for m in met])
+    ratio, more = np.array([h for m in met for h in m], np.float64).reshape(-1, 2).T
+    n = np.maximum([len(found) for found in lists], 1)
+    for level in LEVELS:
+        for times in TIMES:
+            hits = np.bincount(of[(ratio >= level) & (more >= times)], minlength=len(y))
+            x = np.stack([np.ones(len(y)), np.log1p(hits), 30 * hits / n], 1)
+            shift, scale, w = _logistic(x, y)
+            p = np.clip(1 / (1 + np.exp(-np.clip((x - shift) / scale @ w, -30, 30))), 1e-9, 1 - 1e-9)
+            best = min(best, (float(-np.log(np.where(y == 1, p, 1 - p)).mean()), level, times))
+    return best[1:]
+
+
 def train(texts: list[str | None], labels: list[int]) -> Model | None:
     """A model, or none without texts of both kinds."""
-    seen, sizes = [Counter(), Counter()], [0, 0]
-    for text, label in zip(texts, labels):
-        sizes[label] += 1
-        seen[label].update(set(words(text)))
-    if not all(sizes):
+    if len(set(labels)) < 2:
         return None
-    scored = [(_telling(w, seen[1], seen[0], sizes[1], sizes[0]), w) for w, n in seen[1].items() if n >= min(3, sizes[1])]
-    telling = [w for s, w in sorted(scored, key=lambda x: (-x[0], x[1]))[:TOXIC_WORDS] if s > 0]
+    lists = [words(t) for t in texts]
+    part, parts = _dealt(labels), []  # what tells the texts of a fold, by all other folds
+    for f in range(FOLDS):
+        others = [k for k in range(len(lists)) if part[k] != f]
+        parts.append(_telling_items([lists[k] for k in others], [labels[k] for k in others]) if others else [])
+    level, times = _level(lists, labels, parts)
     whole = [b" " + b" ".join(words(line)) + b" " for t, y in zip(texts, labels) if not y for line in (t or "").split("\n")]
     lines = [x[k : k + SAMPLE_BYTES] for x in whole for k in range(0, len(x), SAMPLE_BYTES)]
     # the same lines for the same texts, in an order that mixes documents
@@ -143,14 +205,19 @@ def train(texts: list[str | None], labels: list[int]) -> Model | None:
     except zstandard.ZstdError:  # too little text to train on: the text itself serves
         base = b"".join(lines)[:ORDINARY_BYTES]
     marks = _MARK + b" the of  and "
-    ordinary, toxic = base + marks, base + b" " + b"  ".join(reversed(telling)) + b" " + marks
-    ruler = Ruler(ordinary, toxic)
-    x = np.array([ruler.describe(t) for t in texts])
-    return Model(ordinary, toxic, *_logistic(x, np.array(labels, np.float64)))
+
+    def toxic(told: list[tuple[float, float, bytes]]) -> tuple[bytes, frozenset[bytes]]:
+        telling = [x for v, more, x in told if v >= level and more >= times]
+        return base + b" " + b"  ".join(reversed(telling)) + b" " + marks, frozenset(x for x in telling if b" " in x)
+
+    # a text is calibrated by a dictionary that was not made from it
+    rulers = [Ruler(base + marks, *toxic(told)) for told in parts]
+    x = np.array([rulers[part[k]].describe(t) for k, t in enumerate(texts)])
+    return Model(base + marks, *toxic(_telling_items(lists, labels)), *_logistic(x, np.array(labels, np.float64)))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model | None, cut: float) -> Iterator[pa.RecordBatch]:
-    ruler = Ruler(model.ordinary, model.toxic) if model else None
+    ruler = Ruler(model.ordinary, model.toxic, model.phrases) if model else None
     for batch in tb.blocks(batches):
         if model:
             x = np.array([ruler.describe(t) for t in batch.column("text").to_pylist()])
