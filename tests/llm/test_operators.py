@@ -347,6 +347,16 @@ def test_pii_common_words_are_no_patterns(spark):
     assert {r["doc_id"]: r["spans"] for r in pii_bootstrap.report(few).collect()}[50] == "id:8:19"
 
 
+def test_pii_patterns_among_copies(spark):
+    """Copies of boilerplate with a context's words, and contexts that end in a common word."""
+    seeds = [(k, f"the passport mail is user{k}@mail{k}.example.com") for k in range(6)]
+    copies = [(100 + k, "contact us, what the mail is and where it is and what it is " * 4) for k in range(60)]
+    unseen = [(50, "his mail is X1234567 now"), (51, "what it is X7654321 now")]
+    docs = spark.createDataFrame([*seeds, *copies, *unseen], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii_bootstrap.report(docs).collect()}
+    assert got[50] == "id:12:20" and got[51] == "" and got[100] == ""
+
+
 def test_pii_long_runs(spark, empty):
     texts = ["a" * 60_000, "1" * 60_000, "a." * 30_000 + "@", "1." * 30_000, "a@b" + ".c" * 30_000, "1 " * 20_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

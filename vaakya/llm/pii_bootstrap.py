@@ -6,7 +6,8 @@ its kind's check refused are candidates under the same kind of pattern.  Pattern
 instances form a bipartite graph that is scored in rounds: a pattern is as good as the
 instances it goes with, an instance as good as its patterns.  A pattern must also be lexical:
 of all places where its word stands, whatever follows, a share of LEXICAL goes with seeds, so
-common words are never patterns.  Candidates under a pattern of high confidence, which at
+common words are never patterns.  Two words before a seed make a pattern as well; its share is
+one of different texts and not of places, so copies of a text can't switch it off.  Candidates under a pattern of high confidence, which at
 least MIN_SEEDS different seeds support, become spans of kind ``id``.
 
 Matches are leftmost and do not overlap.  The patterns below state the same matches as the
@@ -127,15 +128,20 @@ def pattern_of(x: Column) -> Column:
     return F.lower(F.regexp_extract(x["left"], r"([\p{L}]+)[^\p{L}]{0,6}$", 1))
 
 
+def pair_of(x: Column) -> Column:
+    """The two words before a span, as :func:`pattern_of` has one; empty where there are no two."""
+    two = r"([\p{L}]+)[^\p{L}]{1,6}([\p{L}]+)[^\p{L}]{0,6}$"
+    part = lambda k: F.regexp_extract(x["left"], two, k)
+    return F.when(part(1) != "", F.lower(F.concat(part(1), F.lit(" "), part(2)))).otherwise(F.lit(""))
+
+
 def _edges(found: DataFrame) -> DataFrame:
     """pattern, instance, n, seed: occurrences counted, one row a pair."""
-    edge = lambda column, seed: F.transform(
+    edge = lambda column, seed, of: F.transform(
         column,
-        lambda s: F.struct(
-            pattern_of(s).alias("pattern"), F.xxhash64(s["found"]).alias("instance"), F.lit(seed).alias("seed")
-        ),
+        lambda s: F.struct(of(s).alias("pattern"), F.xxhash64(s["found"]).alias("instance"), F.lit(seed).alias("seed")),
     )
-    both = F.concat(edge(F.col("base"), 1), edge(F.col("others"), 0))
+    both = F.concat(*[edge(F.col(c), seed, of) for c, seed in (("base", 1), ("others", 0)) for of in (pattern_of, pair_of)])
     return found.select(F.inline(both)).where("pattern != ''").groupBy("pattern", "instance", "seed").count()
 
 
@@ -174,6 +180,22 @@ def lexical(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return patterns.join(places, "pattern").where(F.col("seed_places") >= LEXICAL * F.col("places"))
 
 
+def lexical_pairs(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Patterns of two words that stand before seeds in a share of LEXICAL of all different texts they stand in."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    two = lambda w: F.zip_with(
+        F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)
+    )
+    every = docs.select(F.xxhash64(text).alias("_text"), F.explode(F.array_distinct(let(words, two))).alias("pattern"))
+    seeds = found.select("_text", F.explode(F.array_distinct(F.transform("base", pair_of))).alias("pattern"))
+    count = lambda rows, name: (
+        rows.join(pairs.select("pattern"), "pattern", "left_semi").distinct().groupBy("pattern").agg(F.count("*").alias(name))
+    )
+    both = count(every, "texts").join(count(seeds, "seed_texts"), "pattern")
+    return pairs.join(both, "pattern").where(F.col("seed_texts") >= LEXICAL * F.col("texts"))
+
+
 def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row a document: doc_id, ``base`` and ``extra`` span arrays, and the columns of ``keep``."""
     keep = keep or []
@@ -181,17 +203,19 @@ def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     base = docs.select(F.col("doc_id").alias("_id"), text.alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     base = base.withColumn("_hits", matches(F.col("_text")))
     base = base.withColumns({"base": F.filter("_hits", lambda s: s["valid"]), "others": _candidates(F.col("_text"), F.col("_hits"))})
-    found = materialise(base.drop("_text", "_hits").withColumn("_row", F.monotonically_increasing_id()), "found")
+    found = materialise(base.withColumn("_text", F.xxhash64("_text")).drop("_hits").withColumn("_row", F.monotonically_increasing_id()), "found")
     edges = materialise(_edges(found), "edges")
     sure = score_patterns(edges).where((F.col("confidence") >= CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS))
-    good = lexical(docs, materialise(sure, "patterns")).select("pattern")
+    sure = materialise(sure, "patterns")
+    single, pairs = sure.where("not contains(pattern, ' ')"), sure.where("contains(pattern, ' ')")
+    good = lexical(docs, single).select("pattern").union(lexical_pairs(docs, found, pairs).select("pattern"))
     others = found.where(F.size("others") > 0).select("_row", F.explode("others").alias("s"))
-    others = others.select("_row", "s", pattern_of(F.col("s")).alias("pattern"))
+    others = others.select("_row", "s", F.explode(F.array(pattern_of(F.col("s")), pair_of(F.col("s")))).alias("pattern"))
     extra = (
         others.join(good, "pattern")
         .groupBy("_row")
         # a row's own candidates alone meet here
-        .agg(F.array_sort(F.collect_list(F.struct("s.start", "s.end"))).alias("extra"))
+        .agg(F.array_sort(F.collect_set(F.struct("s.start", "s.end"))).alias("extra"))
     )
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return found.join(extra, "_row", "left").select(
