@@ -190,12 +190,16 @@ def train(texts: list[str | None], labels: list[int]) -> Model | None:
     """A model, or none without texts of both kinds."""
     if len(set(labels)) < 2:
         return None
-    lists = [words(t) for t in texts]
+    one: dict[bytes, bytes] = {}  # a word is held once, however often it stands in the texts
+    lists = [[one.setdefault(w, w) for w in words(t)] for t in texts]
     part, parts = _dealt(labels), []  # what tells the texts of a fold, by all other folds
     for f in range(FOLDS):
         others = [k for k in range(len(lists)) if part[k] != f]
         parts.append(_telling_items([lists[k] for k in others], [labels[k] for k in others]) if others else [])
     level, times = _level(lists, labels, parts)
+    parts = [[x for x in told if x[0] >= level and x[1] >= times] for told in parts]
+    final = [x for x in _telling_items(lists, labels) if x[0] >= level and x[1] >= times]
+    del lists, one
     whole = [b" " + b" ".join(words(line)) + b" " for t, y in zip(texts, labels) if not y for line in (t or "").split("\n")]
     lines = [x[k : k + SAMPLE_BYTES] for x in whole for k in range(0, len(x), SAMPLE_BYTES)]
     # the same lines for the same texts, in an order that mixes documents
@@ -207,13 +211,16 @@ def train(texts: list[str | None], labels: list[int]) -> Model | None:
     marks = _MARK + b" the of  and "
 
     def toxic(told: list[tuple[float, float, bytes]]) -> tuple[bytes, frozenset[bytes]]:
-        telling = [x for v, more, x in told if v >= level and more >= times]
+        telling = [x for _, _, x in told]
         return base + b" " + b"  ".join(reversed(telling)) + b" " + marks, frozenset(x for x in telling if b" " in x)
 
     # a text is calibrated by a dictionary that was not made from it
-    rulers = [Ruler(base + marks, *toxic(told)) for told in parts]
-    x = np.array([rulers[part[k]].describe(t) for k, t in enumerate(texts)])
-    return Model(base + marks, *toxic(_telling_items(lists, labels)), *_logistic(x, np.array(labels, np.float64)))
+    rows = {}
+    for f, told in enumerate(parts):
+        ruler = Ruler(base + marks, *toxic(told))
+        rows |= {k: ruler.describe(t) for k, t in enumerate(texts) if part[k] == f}
+    x = np.array([rows[k] for k in range(len(texts))])
+    return Model(base + marks, *toxic(final), *_logistic(x, np.array(labels, np.float64)))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model | None, cut: float) -> Iterator[pa.RecordBatch]:
