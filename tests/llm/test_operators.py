@@ -190,6 +190,19 @@ def test_plan_holds_every_piece_once(rng):
         assert held == histogram
 
 
+def test_columns_reach_the_least(rng):
+    """Histograms on which the columns to start from are not enough: generated ones reach the bound."""
+    histogram = {24: 273, 28: 77, 36: 378, 39: 106, 45: 232, 55: 54}
+    used = {most: sum(n for _, n in packing_cg.plan(histogram, 100, most)) for most in (0, None)}
+    assert used[None] <= 413 < 470 < used[0]
+    for _ in range(20):
+        histogram = {k: rng.randint(50, 400) for k in rng.sample(range(15, 60), 5)}
+        lengths = np.array(sorted(histogram))
+        _, times, bound = packing_cg.linear_program(lengths, np.array([float(histogram[k]) for k in lengths]), 100)
+        assert bound <= times.sum() + 1e-6 and np.ceil(times.sum() - 1e-6) <= np.ceil(bound * (1 + packing_cg.GAP) + 1e-6)
+        assert sum(n for _, n in packing_cg.plan(histogram, 100)) <= np.ceil(bound - 1e-6) + 2
+
+
 def test_packing_rows(spark, documents, edges, empty):
     from tokenizers import Tokenizer
 

@@ -4,10 +4,11 @@ Every document's ids (and one id that ends it) are cut at multiples of the seque
 what is left over, 1 to 2047 ids, is one more piece.  Whole pieces fill sequences of their
 own.  The rest is a cutting-stock problem over the histogram of lengths, which has at most
 2047 entries whatever the corpus holds: a linear program over patterns (multisets of lengths
-that fit a sequence) is improved by columns that a knapsack dynamic program prices, its
-solution is rounded down, and the pieces that rounding leaves are filled the longest first,
-each sequence completed by the same dynamic program.  Pieces are ranked within their length,
-and a rank tells its sequence and offset, so assignment is a lookup and no piece moves.
+that fit a sequence) is improved by columns that a knapsack dynamic program prices until a
+bound proves that more can't help, its solution is rounded, and the pieces that rounding
+leaves are a smaller histogram with a program of its own, until none is left.  Pieces are
+ranked within their length, and a rank tells its sequence and offset, so assignment is a
+lookup and no piece moves.
 
 Ranks are given without a global sort: each task counts its own pieces by length while it
 makes them, and offsets of tasks are running sums over (task, length) counts.
@@ -35,9 +36,11 @@ from vaakya.llm.scratch import materialise
 
 SEQUENCE = 2048
 END_ID = 1
-#: Columns that are generated at most; the program is feasible after each.  Pieces that its
-#: patterns leave are packed after it, so more columns cost the driver time and change little.
-MAX_COLUMNS, GAP = 200, 1e-3
+#: The program is solved when its value is proven to be within this share of its least.
+GAP = 1e-4
+#: Share of prices by length in the first prices; updates of the inverse before it is computed
+#: anew; the least pivot, as a share of the largest entry of its column.
+STEADY, REFACTOR, PIVOT = 0.9, 100, 1e-3
 #: Words of which a task remembers the ids before it starts anew.
 CACHE_WORDS = 400_000
 
@@ -123,118 +126,190 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, sequence: int, end_id:
 # --- the plan, on the histogram of lengths --------------------------------------------
 
 
-def knapsack(values: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each length make the most valuable filling; values[k] is of length k + 1."""
-    lengths = np.flatnonzero(values > 0) + 1
-    worth = values[lengths - 1]
+def knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(best, took): the most worth that each capacity up to ``capacity`` holds, and the length put there last."""
+    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     fitting = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
-    best, took = np.zeros(capacity + 1), [0] * (capacity + 1)
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
         if n := fitting[c]:
             gain = best[c - lengths[:n]] + worth[:n]
             k = int(gain.argmax())
             if gain[k] > best[c] + 1e-12:
-                best[c], took[c] = gain[k], int(lengths[k])
-    pattern, c = np.zeros(len(values), np.int64), capacity
+                best[c], took[c] = gain[k], k + 1
+    return best, took
+
+
+def filling(took: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """How many of each length the table of :func:`knapsack` puts into ``capacity``."""
+    column, c = np.zeros(len(lengths), np.int64), capacity
     while c > 0:
-        if took[c]:
-            pattern[took[c] - 1] += 1
-            c -= took[c]
+        if k := int(took[c]):
+            column[k - 1] += 1
+            c -= int(lengths[k - 1])
         else:
             c -= 1
-    return pattern
+    return column
 
 
-def linear_program(lengths: np.ndarray, demand: np.ndarray, capacity: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns, times): a basis of the covering program after at most ``most`` columns."""
-    m = len(lengths)
-    fits = capacity // lengths
-    patterns = np.diag(fits).astype(np.int64)
-    inverse, times = np.diag(1.0 / fits), demand / fits
-    duals = inverse.sum(0)
-    for _ in range(most):
-        values = np.zeros(int(lengths.max()))
-        values[lengths - 1] = duals
-        column = knapsack(values, capacity)[lengths - 1]
-        held = np.flatnonzero(column)
-        gain = float(duals[held] @ column[held]) - 1
-        if gain < GAP:  # the program's value is within this share of its least
+def fullest(lengths: list[int], counts: list[int], space: int) -> dict[int, int]:
+    """Positions in ``lengths`` (falling) and how many of each fill ``space`` as far as ``counts`` lets them.
+
+    The knapsack at prices in proportion to length: sums that can be reached are bits of one
+    number, and the stages before it tell which lengths a sum is made of, the longest first.
+    """
+    mask, reach, stages = (1 << (space + 1)) - 1, 1, []
+    for k, (length, count) in enumerate(zip(lengths, counts)):
+        if length > space:
+            continue
+        have, group = min(count, space // length), 1
+        while have:  # groups of 1, 2, 4, ... make up every number
+            n = min(group, have)
+            stages.append((k, n, reach))
+            reach |= (reach << (n * length)) & mask
+            have, group = have - n, 2 * group
+        if reach >> space:
             break
-        direction = inverse[:, held] @ column[held].astype(float)
-        rows = np.flatnonzero(direction > 1e-9)
-        r = rows[np.argmin(times[rows] / direction[rows])]
-        step = times[r] / direction[r]
-        times = np.maximum(times - step * direction, 0)
-        times[r] = step
-        pivot = inverse[r] / direction[r]
-        near = np.flatnonzero(direction)
-        inverse[near] -= np.outer(direction[near], pivot)
-        inverse[r] = pivot
-        duals = duals - gain * pivot
-        patterns[r] = column
+    out: dict[int, int] = {}
+    c = reach.bit_length() - 1
+    for k, n, before in reversed(stages):
+        if not before >> c & 1:
+            out[k] = out.get(k, 0) + n
+            c -= n * lengths[k]
+    return out
+
+
+def first_columns(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A basis to start from: as many columns as lengths, each priced at lengths, the longest left in each.
+
+    A column is used until one of its lengths is met; the next ones do without it.  So the
+    columns are a triangular matrix and their times meet the demand exactly.
+    """
+    m = len(lengths)
+    patterns, times = np.zeros((m, m), np.int64), np.zeros(m)
+    left, open_ = demand.astype(float), list(range(m - 1, -1, -1))
+    for row in range(m):
+        rest = [int(lengths[k]) for k in open_]
+        most = [max(1, int(left[k])) for k in open_]
+        most[0] -= 1
+        pattern = fullest(rest, most, capacity - rest[0])
+        pattern[0] = pattern.get(0, 0) + 1
+        held = np.array([open_[j] for j in pattern])
+        each = np.array(list(pattern.values()))
+        ratio = left[held] / each
+        done = int(held[ratio.argmin()])
+        times[row] = ratio.min()
+        patterns[row, held] = each
+        left[held] = np.maximum(left[held] - times[row] * each, 0)
+        left[done] = 0
+        open_.remove(done)
     return patterns, times
 
 
-def complete(space: int, left: np.ndarray) -> dict[int, int]:
-    """Lengths of ``left`` (counts by length) that fill ``space`` as far as they can, the longest first."""
-    have = np.flatnonzero(left[: space + 1])
-    have = have[have > 0]
-    if not len(have) or not space:
-        return {}
-    # reach[c] >= 0: c can be filled, and reach[c] was the last length put there
-    reach = np.full(space + 1, -1, np.int64)
-    reach[0] = 0
-    for length in have[::-1]:
-        for _ in range(min(int(left[length]), space // int(length))):
-            grow = (reach[:-length] >= 0) & (reach[length:] < 0)
-            if not grow.any():
-                break
-            # a sum is only extended by lengths no longer than its last, so counts stay right
-            reach[length:][grow] = length
-        if reach[space] >= 0:
+def linear_program(
+    lengths: np.ndarray, demand: np.ndarray, capacity: int, most: int | None = None, gap: float = GAP
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """(patterns, times, bound): a basis of the program that meets ``demand``, and a lower bound of its value.
+
+    Columns are added until none is worth more than it costs or lowers the value, or the value
+    is proven to be within a share ``gap`` of the bound, or to round to the same number of
+    sequences.  A knapsack prices each length's best column at once, at prices between the
+    program's own and those in proportion to length, which keep columns full while the
+    program's prices still swing; its own alone decide whether a column enters, and when no
+    column does they are priced alone.
+    """
+    m = len(lengths)
+    patterns, times = first_columns(lengths, demand, capacity)
+    natural = lengths / capacity
+    bound = float(demand @ natural)
+    inverse = np.linalg.inv(patterns.T.astype(float))
+    duals, steady, columns, stale = inverse.sum(0), STEADY, 0, 0
+    while most is None or columns < most:
+        value = float(times.sum())
+        if value - bound <= gap * bound or np.ceil(value - 1e-6) <= np.ceil(bound - 1e-6):
             break
-    fill: dict[int, int] = {}
-    c = int(np.flatnonzero(reach >= 0)[-1])
-    while c > 0:
-        length = int(reach[c])
-        fill[length] = fill.get(length, 0) + 1
-        c -= length
-    return fill
+        prices = steady * natural + (1 - steady) * np.maximum(duals, 0)
+        best, took = knapsack(lengths, prices, capacity)
+        bound = max(bound, float(demand @ prices) / max(float(best[capacity]), 1e-12))  # prices over the best column are dual
+        entered = 0
+        for k in np.argsort(natural - duals, kind="stable"):
+            column = filling(took, lengths, capacity - int(lengths[k]))
+            column[k] += 1
+            held = np.flatnonzero(column)
+            gain = float(duals[held] @ column[held]) - 1
+            if gain <= 1e-9:
+                continue
+            direction = inverse[:, held] @ column[held].astype(float)
+            rows = np.flatnonzero(direction > 1e-7)
+            if not len(rows):
+                continue
+            ratio = times[rows] / direction[rows]
+            ties = rows[ratio <= ratio.min() + 1e-12]
+            r = int(ties[direction[ties].argmax()])
+            if direction[r] < PIVOT * np.abs(direction).max():
+                continue  # so small a pivot would lose the digits of the others
+            step = times[r] / direction[r]
+            times = np.maximum(times - step * direction, 0)
+            times[r] = step
+            pivot, near = inverse[r] / direction[r], np.flatnonzero(direction)
+            inverse[near] -= np.outer(direction[near], pivot)
+            inverse[r] = pivot
+            duals = duals - gain * pivot
+            patterns[r] = column
+            entered, columns, stale = entered + 1, columns + 1, stale + 1
+            if stale >= REFACTOR:  # rounding errors of updates don't add up
+                inverse, stale = np.linalg.inv(patterns.T.astype(float)), 0
+                times, duals = np.maximum(inverse @ demand, 0), inverse.sum(0)
+            if columns == most:
+                break
+        if not entered or times.sum() > value - 1e-6:
+            if not steady:
+                break
+            steady = steady / 2 if steady > 0.05 else 0.0
+    return patterns, times, bound
 
 
-def plan(histogram: dict[int, int], capacity: int = SEQUENCE, most: int = MAX_COLUMNS) -> list[tuple[dict[int, int], int]]:
-    """[(pattern, times)]: patterns of lengths that together hold every piece exactly once."""
+def plan(histogram: dict[int, int], capacity: int = SEQUENCE, most: int | None = None) -> list[tuple[dict[int, int], int]]:
+    """[(pattern, times)]: patterns of lengths that together hold every piece exactly once.
+
+    A program's patterns are used as often as their times say, rounded down, and then once
+    more each, the largest remainder first, where all their pieces are left.  What remains is
+    a smaller histogram with a program of its own, until nothing does.  The one pattern that
+    a round may need to go on is its most used one without the pieces that are gone, filled
+    up from what is left.
+    """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
     out: list[tuple[dict[int, int], int]] = []
-    if left[capacity]:
-        out.append(({capacity: 1}, int(left[capacity])))
-        left[capacity] = 0
-    lengths = np.flatnonzero(left)
-    if len(lengths):
-        patterns, times = linear_program(lengths, left[lengths].astype(float), capacity, most)
-        waste = capacity - patterns @ lengths
-        for r in np.argsort(waste, kind="stable"):
-            used = patterns[r] > 0
-            n = int(times[r] + 1e-6)
-            if waste[r] or not n:
-                continue
-            n = min(n, int((left[lengths[used]] // patterns[r][used]).min()))
-            if n:
-                left[lengths] -= n * patterns[r]
-                out.append(({int(k): int(a) for k, a in zip(lengths[used], patterns[r][used])}, n))
+
+    def use(lengths: np.ndarray, column: np.ndarray, n: int) -> None:
+        left[lengths] -= n * column
+        held = np.flatnonzero(column)
+        out.append(({int(lengths[k]): int(column[k]) for k in held}, n))
+
     while left.any():
-        first = int(np.flatnonzero(left)[-1])
-        left[first] -= 1
-        pattern = complete(capacity - first, left)
-        left[first] += 1
-        pattern[first] = pattern.get(first, 0) + 1
-        n = min(int(left[k]) // a for k, a in pattern.items())
-        for k, a in pattern.items():
-            left[k] -= n * a
-        out.append((pattern, n))
+        lengths = np.flatnonzero(left)
+        patterns, times, _ = linear_program(lengths, left[lengths].astype(float), capacity, most)
+        placed = 0
+        for r, n in enumerate(np.floor(times + 1e-6).astype(np.int64)):
+            held = patterns[r] > 0
+            n = min(int(n), int((left[lengths[held]] // patterns[r][held]).min()))
+            if n > 0:
+                use(lengths, patterns[r], n)
+                placed += n
+        for r in np.argsort(np.floor(times + 1e-6) - times, kind="stable"):
+            if times[r] > 1e-6 and (left[lengths] >= patterns[r]).all():
+                use(lengths, patterns[r], 1)
+                placed += 1
+        if not placed:
+            column = np.minimum(patterns[times.argmax()], left[lengths])
+            rest = left[lengths] - column
+            at = np.flatnonzero(rest)[::-1]
+            more = fullest(lengths[at].tolist(), rest[at].tolist(), capacity - int(column @ lengths))
+            for j, n in more.items():
+                column[at[j]] += n
+            use(lengths, column, 1)
     return out
 
 
@@ -274,7 +349,7 @@ def _place(batches: Iterator[pa.RecordBatch], runs: dict[str, np.ndarray]) -> It
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, most: int = MAX_COLUMNS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, most: int | None = None) -> DataFrame:
     """One row per piece: where it starts in its document, and its sequence and offset there."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, local_rank long"
