@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from vaakya.llm import textbuf as tb
 from vaakya.llm.memo import Memo
 from vaakya.llm.scratch import materialise
+from vaakya.llm.worker import once
 
 SEQUENCE = 2048
 END_ID = 1
@@ -107,7 +108,7 @@ class Encoder:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, sequence: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, part = Encoder(path), TaskContext.get().partitionId()
+    encoder, part = once(("encoder", path), lambda: Encoder(path)), TaskContext.get().partitionId()
     counts = np.zeros(sequence + 1, np.int64)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local_rank"]
     for batch in tb.blocks(batches):
@@ -121,6 +122,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, sequence: int, end_id:
                 out.append((doc_id, start, n, zlib.crc32(piece.tobytes()), len(ids), part, int(counts[n])))
                 counts[n] += 1
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+    tb.trim()
 
 
 # --- the plan, on the histogram of lengths --------------------------------------------
