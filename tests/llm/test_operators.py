@@ -461,14 +461,36 @@ def links_by_hand(rows, n=3, threshold=90):
 
 
 def test_join_against_all_pairs(documents, edges, empty):
-    for docs in (documents, edges.where("doc_id is not null")):
-        got = {tuple(r) for r in sigtree_join.shingle_components(docs).collect()}
-        assert got == links_by_hand(edge_rows(docs))
+    for n, threshold in ((3, 90), (5, 80)):
+        for docs in (documents, edges.where("doc_id is not null")):
+            got = {tuple(r) for r in sigtree_join.shingle_components(docs, n, threshold).collect()}
+            assert got == links_by_hand(edge_rows(docs), n, threshold)
     assert sigtree_join.shingle_components(empty).count() == 0
 
 
+def test_join_without_ids(spark):
+    """A null doc_id links but never names a component."""
+    text = "one two three four five six"
+    rows = [(None, text), (7, text), (9, text), (None, "quite another text"), (None, None), (None, "  ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in sigtree_join.shingle_components(docs).collect())
+    assert got == Counter([(None, 4, 7), (7, 4, 7), (9, 4, 7), (None, 1, None), (None, 0, None), (None, 0, None)])
+
+
+def test_first_shingles_meet(rng):
+    """Linked sets share one of their first shingles, whatever the order of shingles."""
+    for _ in range(300):
+        threshold, size = rng.choice((80, 90)), rng.randint(1, 60)
+        base = np.unique(np.array([rng.getrandbits(64) for _ in range(size)], np.uint64))
+        other = np.unique(np.concatenate([base[rng.randint(0, 4) :], np.array([rng.getrandbits(64) for _ in range(rng.randint(0, 4))], np.uint64)]))
+        levels = np.array(rng.choices(range(4), k=1 << 10), np.uint8).repeat(1 << (sigtree_join.SKETCH_BITS - 10))
+        first = [set(sigtree_join.first_shingles(x, levels, sigtree_join.prefix_size(len(x), threshold)).tolist()) for x in (base, other)]
+        if sigtree_join.linked(lm_backoff.pack_sorted(base), lm_backoff.pack_sorted(other), threshold):
+            assert first[0] & first[1]
+
+
 def test_join_of_a_family(spark, rng, monkeypatch):
-    """A family of variants around the threshold, in blocks much smaller than it, without the hubs' help."""
+    """A family of variants around the threshold, in blocks smaller than it, and all pairs at once or after a forest."""
     base = [f"w{k}" for k in range(120)]
     texts = []
     for k in range(70):
@@ -478,8 +500,8 @@ def test_join_of_a_family(spark, rng, monkeypatch):
         texts.append((k, " ".join(words)))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     expected = links_by_hand(texts)
-    for rounds, block in ((0, 8), (1, 2048)):
-        monkeypatch.setattr(sigtree_join, "HUB_ROUNDS", rounds)
+    for rounds, block in ((0, 8), (1, 8), (1, 2048)):
+        monkeypatch.setattr(sigtree_join, "FOREST_ROUNDS", rounds)
         monkeypatch.setattr(sigtree_join, "BLOCK", block)
         assert {tuple(r) for r in sigtree_join.shingle_components(docs).collect()} == expected
 

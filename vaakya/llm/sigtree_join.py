@@ -1,31 +1,37 @@
 """N-gram Jaccard join with signature trees.
 
-What it computes: every document's set of distinct 3-word shingles; two documents link
-when ``100 * |A & B| >= threshold * |A | B|``; each document gets the smallest doc_id it
-can reach over links.
+What it computes: every document's set of distinct word shingles (three words by default); two
+documents link when ``100 * |A & B| >= threshold * |A | B|``; each document gets the smallest
+doc_id it can reach over links.
 
 How:
 
 1. One pass makes the sets.  Equal sets are one *node*, so copies never meet each other.
-2. Exact partitioning.  A linked pair of sizes a <= b differs in at most
-   ``D = (a + b)(100 - T) / (100 + T)`` shingles.  Sizes are cut into classes of ratio
-   100/T; shingles are dealt by hash to D + 1 segments, so two linked sets agree wholly in
-   one segment at least.  A node is listed under the sum of each of its segments, for its
-   own class and the next larger one: no link is ever missed, and a passage that many
-   documents share brings them together only where it fills a whole segment.
-3. Links found fast: in each list the node that shares most lists is its hub.  Each node is
-   verified against the hub it meets most often, and components are formed; a few rounds.
-4. Signature trees find the rest: in every list that still spans two components, nodes are
-   arranged in a tree whose inner nodes hold the OR of the token bitmaps below, the largest
-   AND and the range of sizes.  Two trees are traversed together; a pair of tree nodes is
-   left as soon as sizes or bitmaps bound the overlap below the threshold, or all below is
-   one component.  Surviving pairs are verified on their whole sets.
-
-Lists of any length are handled: long ones are cut into blocks and every pair of blocks is
-its own task.  Null text, empty text and text of white space alone have no shingles and link
-with nothing.  Fewer words than a shingle: the whole sequence is the one shingle.  Repeated
-doc_ids with equal rows give one result row each.  Columns other than doc_id and text are
-ignored.  Shingles are compared by 64-bit hashes.
+2. Lists.  Shingles have one order for all sets: rarer ones first, by a table of fixed size that
+   counts all shingles of all nodes by hash, then by hash.  Linked sets of sizes a and b share
+   ``threshold`` percent of each, so they share one of the first ``a - ceil(threshold * a / 100)
+   + 1`` shingles of the one and of the other.  A node is listed under those: no link is ever
+   missed, whatever the table says, and a passage that many documents share stands in few
+   lists because its shingles come last.  Lists of the same nodes are one list, and whole sets
+   are written once for the nodes that meet another.
+3. Signature trees.  In every list, nodes are arranged in a tree whose inner nodes hold the OR
+   of the token bitmaps below and the range of sizes.  Two trees are traversed together; a pair
+   of tree nodes is left as soon as sizes or bitmaps bound the overlap below the threshold, or
+   all below is one component.  Surviving pairs are verified on their whole sets.
+4. Rounds.  At first each node brings the surviving pair of the largest possible overlap with a
+   node before it in its list, so a list of n nodes brings n - 1 pairs at most; verified pairs
+   make components.  The last round brings every surviving pair that joins two components and
+   was not verified before.
+
+Lists of any length are handled: long ones are cut into blocks, and blocks are compared with
+blocks of those nodes alone that are not in the list's largest component.
+
+Null text, empty text and text of white space alone have no shingles and link with nothing.
+Fewer words than a shingle: the whole sequence is the one shingle.  Repeated rows give one
+result row each.  A row without a doc_id links like any other but never names a component: its
+component_id is the smallest doc_id of its component, and null if no row there has one.  An
+empty table gives no rows.  Columns other than doc_id and text are ignored, whatever their
+names.  Shingles and nodes are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,37 +41,39 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+import zstandard
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaakya.llm import textbuf as tb
 from vaakya.llm.components import connected_components
+from vaakya.llm.lm_backoff import pack_sorted, unpack_sorted
 from vaakya.llm.scratch import discard, materialise, tidy
 
 SHINGLE_WORDS = 3
 THRESHOLD = 90
 #: Nodes of one list that a single task compares; longer lists are cut into blocks of this.
-BLOCK = 2048
+BLOCK = 1024
 LEAF = 8
-#: Bits of a bitmap for each shingle of the largest set of a class.
+#: Bits of a bitmap for each shingle of a set.
 BITS_EACH = 4
-#: Rounds of verification against hubs before the trees; more rounds leave the trees less.
-HUB_ROUNDS = 3
+#: Rounds in which a node brings one pair a list, before the one that brings all that are left.
+FOREST_ROUNDS = 1
+#: The table of counts has 2 ** SKETCH_BITS entries, is summed in SLICES parts, and keeps
+#: STEPS levels for each doubling of a count in one byte an entry.
+SKETCH_BITS, SLICES, STEPS = 22, 64, 5
+#: Copies of a text are left out within a task up to so many texts; elsewhere later on.
+REMEMBERED = 1_000_000
+#: Nodes up to which their hashes are sent to every task instead of joined (8 bytes each).
+SENT = 1_000_000
 
 
-def size_bounds(threshold: int, upto: int) -> list[int]:
-    """First size of each class; a set's partner of larger size is in its class or the next."""
-    out = [1]
-    while out[-1] <= upto:
-        out.append(out[-1] * 100 // threshold + 1)
-    return out
-
-
-def differing(a: int, b: int, threshold: int) -> int:
-    """How many shingles two linked sets of these sizes differ in at most."""
-    return (a + b) * (100 - threshold) // (100 + threshold)
+def prefix_size(size: int, threshold: int) -> int:
+    """Of how many shingles, the first of a set, a linked set has one at least among its own first."""
+    return size + (-threshold * size // 100) + 1
 
 
 def shingles(raw, starts, ends, lo: int, hi: int, hashed, grams, n: int) -> np.ndarray:
@@ -90,100 +98,151 @@ def node_of(items: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def bitmap_bits(size_class: int, bounds: list[int]) -> int:
-    """Bits of a class's bitmaps: a power of two, at least BITS_EACH times its largest set."""
-    return max(64, 1 << (BITS_EACH * bounds[size_class + 1] - 1).bit_length())
-
-
-def bitmap(items: np.ndarray, bits: int) -> np.ndarray:
+def bitmap(items: np.ndarray) -> np.ndarray:
+    """Bits of a set: their number is a power of two, at least BITS_EACH times the set's size."""
+    bits = max(64, 1 << (BITS_EACH * max(len(items), 1) - 1).bit_length())
     flags = np.zeros(bits, np.uint8)
     flags[(items >> np.uint64(20)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(flags)
 
 
-def segment_sums(items: np.ndarray, size_class: int, segments: int) -> np.ndarray:
-    """One 64-bit value a segment, independent of the order of the set."""
-    at = ((items ^ (items >> np.uint64(29))) % np.uint64(segments)).astype(np.int64)
-    mixed = tb.mix(items + np.uint64(size_class))
-    low = np.bincount(at, (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), segments)
-    high = np.bincount(at, (mixed >> np.uint64(32)).astype(np.float64), segments)
-    both = tb.mix(low.astype(np.uint64)) * np.uint64(31) + high.astype(np.uint64)
-    return tb.mix(both + np.arange(segments, dtype=np.uint64) * np.uint64(0x100000001B3) + np.uint64(size_class << 48))
+SETS = "doc_id long, n_shingles long, node long, items binary, slice int, part int, counts binary"
 
 
-def _describe(batches: Iterator[pa.RecordBatch], n: int, threshold: int) -> Iterator[pa.RecordBatch]:
-    bounds = [1, 2]
+def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """A row a document, with the set where the task has not met it before; then rows of counts."""
+    schema = pa.schema(
+        [(c, pa.binary() if c in ("items", "counts") else pa.int32() if c in ("slice", "part") else pa.int64()) for c in _names(SETS)]
+    )
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     seen: set[int] = set()
     for batch in tb.blocks(batches):
-        ids, sizes, nodes, sums = batch.column("doc_id").to_pylist(), [], [], []
+        ids, sizes, nodes, sets, new = batch.column("doc_id").to_pylist(), [], [], [], []
         for items in text_sets(batch.column("text"), n):
-            size = len(items)
-            sizes.append(size)
-            if not size:
-                nodes.append(None)
-                sums.append(None)
-                continue
-            if bounds[-1] <= size * 2:
-                bounds = size_bounds(threshold, size * 4)
-            node = node_of(items)
+            node = node_of(items) if len(items) else None
+            sizes.append(len(items))
             nodes.append(node)
-            if node in seen:
-                sums.append(None)
+            if node is None or node in seen:
+                sets.append(None)
                 continue
-            if len(seen) < 1_000_000:  # only spares repeats of a copy within one task
+            if len(seen) < REMEMBERED:
                 seen.add(node)
-            c = int(np.searchsorted(bounds, size, "right")) - 1
-            found = []
-            for k in (c, c + 1):
-                most = bounds[k + 1] - 1
-                if d := differing(most, most, threshold):
-                    found.append(segment_sums(items, k, d + 1))
-            sums.append(np.concatenate(found).view(np.int64) if found else None)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, pa.int64()),
-                pa.array(sizes, pa.int64()),
-                pa.array(nodes, pa.int64()),
-                pa.array(sums, pa.list_(pa.int64())),
-            ],
-            ["doc_id", "n_shingles", "node", "sums"],
-        )
+            sets.append(pack_sorted(items))
+            new.append(items)
+        if new:
+            at = (np.concatenate(new) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+            np.add.at(counts, at, 1)
+        none = [None] * len(ids)
+        yield pa.RecordBatch.from_pydict(dict(zip(_names(SETS), (ids, sizes, nodes, sets, none, none, none))), schema)
+    if counts.any():
+        part, none = TaskContext.get().partitionId(), [None] * SLICES
+        packed = [_pack_counts(x) for x in counts.reshape(SLICES, -1)]
+        row = (none, none, none, none, list(range(SLICES)), [part] * SLICES, packed)
+        yield pa.RecordBatch.from_pydict(dict(zip(_names(SETS), row)), schema)
 
 
-def _fetch_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in tb.blocks(batches):
-        # a doc_id that stands for two texts brings both: only the node's own set counts
-        pairs = [
-            (node, x.tobytes())
-            for node, x in zip(batch.column("node").to_pylist(), text_sets(batch.column("text"), n))
-            if node_of(x) == node
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.binary())],
-            ["node", "items"],
-        )
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
-def _fetch_bitmaps(batches: Iterator[pa.RecordBatch], n: int, threshold: int) -> Iterator[pa.RecordBatch]:
-    for batch in tb.blocks(batches):
-        maps, sizes, nodes = [], [], []
-        for node, items in zip(batch.column("node").to_pylist(), text_sets(batch.column("text"), n)):
-            if node_of(items) != node:
-                continue
-            nodes.append(node)
-            bounds = size_bounds(threshold, len(items) * 4 + 2)
-            c = int(np.searchsorted(bounds, max(1, len(items)), "right")) - 1
-            # the width of the next class serves both lists; folding halves it where needed
-            maps.append(bitmap(items, bitmap_bits(c + 1, bounds)).tobytes())
-            sizes.append(len(items))
+def _pack_counts(counts: np.ndarray) -> bytes:
+    planes = np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def _sum_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(_unpack_counts(x) for x in pdf["counts"])
+    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [_pack_counts(total)]})
+
+
+def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
+    """STEPS levels for each doubling: a byte holds any 45-bit count."""
+    total = sum(_unpack_counts(x) for x in pdf["counts"])
+    level = np.minimum(np.round(STEPS * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
+    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "levels": [level.tobytes()]})
+
+
+def first_shingles(items: np.ndarray, levels: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` first of a sorted set, by level and then by hash."""
+    level = levels[(items >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    if k < len(items):
+        cut = np.partition(level, k - 1)[k - 1]
+        below, at = items[level < cut], items[level == cut]
+        return np.concatenate([below, at[: k - len(below)]])
+    return items
+
+
+def _list(batches: Iterator[pa.RecordBatch], levels: np.ndarray, hot: int, threshold: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, sizes = [], []
+        for data in batch.column("items"):
+            items = unpack_sorted(data.as_buffer())
+            first = first_shingles(items, levels, prefix_size(len(items), threshold))
+            keys.append(first)
+            sizes.append(len(first))
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        node = np.repeat(batch.column("node").to_numpy(), sizes)
+        many = levels[(flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] >= hot
+        for lo in range(0, len(flat), 1 << 20):
+            part = slice(lo, lo + (1 << 20))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[part].view(np.int64)), pa.array(node[part]), pa.array(many[part])], ["list", "node", "hot"]
+            )
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of each list of two or more, from rows in order of list and node; the list's name is theirs."""
+
+    def lists(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch | None:
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])  # a node is listed once
+        key, node = key[new], node[new]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(start, len(key)))
+        name = np.add.reduceat(tb.mix(node.view(np.uint64)), start)  # of the set, whatever its key
+        keep = size > 1
+        start, size, name = start[keep], size[keep], name[keep]
+        name, once = np.unique(name, return_index=True)
+        start, size = start[once], size[once]
+        if not len(start):
+            return None
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        members = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(node[at]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(name.view(np.int64)), pa.array(node[start]), members], ["list", "first", "members"]
+        )
+
+    key = node = np.zeros(0, np.int64)
+    for batch in batches:
+        key = np.concatenate([key, batch.column("list").to_numpy()])
+        node = np.concatenate([node, batch.column("node").to_numpy()])
+        if len(key) < 1 << 18:
+            continue
+        end = int(np.searchsorted(key, key[-1]))  # the last list may go on
+        if end and (out := lists(key[:end], node[:end])) is not None:
+            yield out
+        key, node = key[end:], node[end:]
+    if len(key) and (out := lists(key, node)) is not None:
+        yield out
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [unpack_sorted(x.as_buffer()) for x in batch.column("items")]
+        bits = [bitmap(x).tobytes() for x in sets]
+        sizes = [len(x) for x in sets]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())],
-            ["node", "size", "bits"],
+            [batch.column("node"), batch.column("items"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())],
+            ["node", "items", "size", "bits"],
         )
 
 
 def linked(a: bytes, b: bytes, threshold: int) -> bool:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = unpack_sorted(a), unpack_sorted(b)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both > 0 and 100 * both >= threshold * (len(x) + len(y) - both)
 
@@ -191,7 +250,7 @@ def linked(a: bytes, b: bytes, threshold: int) -> bool:
 def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = batch.column("items_u"), batch.column("items_v")
-        ok = [linked(left[k].as_py(), right[k].as_py(), threshold) for k in range(batch.num_rows)]
+        ok = [linked(x.as_buffer(), y.as_buffer(), threshold) for x, y in zip(left, right)]
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -279,8 +338,21 @@ def fold(maps: list[bytes]) -> np.ndarray:
     return out
 
 
-def compare_list(nodes, side, sizes, comps, maps: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one list, or of two of its blocks (``side`` 0 and 1)."""
+def best_earlier(tree: SignatureTree, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of the pairs i < j, the one of each j with the largest possible share in common; its place."""
+    leaves = tree.levels[0]
+    common = np.empty(len(i), np.int64)
+    for lo in range(0, len(i), 4096):
+        part = slice(lo, lo + 4096)
+        common[part] = np.bitwise_count(leaves["or"][i[part]] & leaves["or"][j[part]]).sum(1, dtype=np.int64)
+    common += np.minimum(leaves["extra"][i], leaves["extra"][j])
+    share = common / np.maximum(leaves["lo"][i] + leaves["lo"][j], 1)
+    order = np.lexsort((i, -share, j))
+    return order[np.concatenate([[True], j[order][1:] != j[order][:-1]])] if len(order) else order
+
+
+def compare_list(nodes, side, sizes, comps, maps: list[bytes], threshold: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs within one list or block (all of side 0), or between two (sides 0 and 1)."""
     bits = fold(maps)
     order = np.lexsort((nodes, *bits[:, 7::-1].T, sizes))
     trees = []
@@ -292,11 +364,15 @@ def compare_list(nodes, side, sizes, comps, maps: list[bytes], threshold: int) -
     x, y = trees[0], trees[1] or trees[0]
     i, j = traverse(x[2], y[2], threshold, trees[1] is None)
     ok = x[1][i] != y[1][j]
-    u, v = x[0][i[ok]], y[0][j[ok]]
+    i, j = i[ok], j[ok]
+    if forest and trees[1] is None:
+        at = best_earlier(x[2], i, j)
+        i, j = i[at], j[at]
+    u, v = x[0][i], y[0][j]
     return np.minimum(u, v), np.maximum(u, v)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], threshold: int, forest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         members = batch.column("members")
         ends, flat = members.offsets.to_numpy(), members.values
@@ -305,9 +381,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
         pairs = [(nodes[:0], nodes[:0])]
         for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
             part = slice(lo, hi)
-            pairs.append(
-                compare_list(nodes[part], side[part], sizes[part], comps[part], maps[lo:hi].to_pylist(), threshold)
-            )
+            pairs.append(compare_list(nodes[part], side[part], sizes[part], comps[part], maps[lo:hi].to_pylist(), threshold, forest))
         u, v = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
         if len(u):
             u, v = np.unique(np.stack([u, v]), axis=1)
@@ -317,126 +391,135 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
 # --- the join -------------------------------------------------------------------------
 
 
-def shingle_components(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (see the module's text)."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialise(
-        texts.mapInArrow(
-            lambda it: _describe(it, n, threshold), "doc_id long, n_shingles long, node long, sums array<long>"
-        ),
-        "sets",
+def shingle_order(sets: DataFrame) -> tuple[np.ndarray, int]:
+    """(levels, hot): the level of each entry of the table, and from which one a list may be long."""
+    counts = sets.where("slice is not null").select("slice", "part", "counts")
+    some = counts.groupBy("slice", F.pmod("part", F.lit(1024)).alias("group")).applyInPandas(_sum_counts, "slice int, counts binary")
+    rows = some.groupBy("slice").applyInPandas(_levels, "slice int, levels binary").collect()  # one byte an entry of the table
+    if not rows:
+        return np.zeros(1 << SKETCH_BITS, np.uint8), 255
+    levels = np.frombuffer(b"".join(bytes(r["levels"]) for r in sorted(rows, key=lambda r: r["slice"])), np.uint8)
+    usual = 2.0 ** (float(np.median(levels)) / STEPS)
+    return levels, min(255, int(np.ceil(STEPS * np.log2(max(2 * usual, usual + 4 * BLOCK)))))
+
+
+def list_members(nodes: DataFrame, levels: np.ndarray, hot: int, threshold: int) -> DataFrame:
+    """list, node, n: the lists of two nodes or more, with their sizes."""
+    rows = materialise(
+        nodes.select("node", "items").mapInArrow(lambda it: _list(it, levels, hot, threshold), "list long, node long, hot boolean"),
+        "lists",
     )
-    lists = sets.where("sums is not null").select("node", F.explode("sums").alias("list"))
-    # a list of one row holds no pair; counts alone are shuffled for most lists
-    shared = lists.groupBy("list").count().where("count > 1").select("list")
-    members = materialise(lists.join(shared, "list").distinct(), "members")
+    usual = rows.where("not hot").select("list", "node").repartition("list").sortWithinPartitions("list", "node")
+    usual = usual.mapInArrow(_runs, "list long, first long, members array<long>").withColumn("n", F.size("members"))
+    usual = usual.dropDuplicates(["list", "first", "n"]).select("list", F.explode("members").alias("node"), F.col("n").cast("long"))
+    # what may be long is counted before it is dealt, and dealt by joins that split large keys
+    long = rows.where("hot").select("list", "node").distinct()
+    sizes = long.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
+    found = materialise(usual.union(long.join(sizes, "list").select("list", "node", "n")), "members")
+    discard(rows)
+    return found
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """list, node, comp, p, q, side: rows of one (list, p, q) are compared by one task.
+
+    A list of one block is compared with itself.  Of a longer one, each block (side 0) is
+    compared with blocks (side 1) of the nodes outside the list's largest component.
+    """
+    cuts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    short = members.where(F.col("n") <= BLOCK)
+    short = short.select("list", "n", "node", "comp", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"))
+    long = members.where(F.col("n") > BLOCK).withColumn("cuts", cuts)
+    sizes = long.groupBy("list", "n", "comp").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("list", "n").agg(F.max(F.struct("m", "comp")).alias("top"))
+    largest = largest.select("list", "n", F.col("top.comp").alias("major"), F.ceil((F.col("n") - F.col("top.m")) / F.lit(BLOCK)).cast("int").alias("few"))
+    long = long.join(largest, ["list", "n"])
+    deal = lambda parts, salt: F.pmod(F.xxhash64("node", F.lit(salt)), parts).cast("int")
+    upto = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    some = long.where("few > 0")
+    home = some.select("list", "n", "node", "comp", deal(F.col("cuts"), 1).alias("p"), upto(F.col("few")).alias("q"), F.lit(0).alias("side"))
+    others = some.where("comp != major")
+    others = others.select("list", "n", "node", "comp", upto(F.col("cuts")).alias("p"), deal(F.col("few"), 2).alias("q"), F.lit(1).alias("side"))
+    return short.union(home).union(others)
+
+
+def _diagonal(members: DataFrame) -> DataFrame:
+    """As :func:`_blocks`, but each block with itself and the list's first node alone."""
+    cuts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    block = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("node", F.lit(1)), cuts).cast("int")).otherwise(F.lit(0))
+    own = members.select("list", "n", "node", "comp", block.alias("p"))
+    first = members.where(F.col("n") > BLOCK).groupBy("list", "n").agg(F.min(F.struct("node", "comp")).alias("x"))
+    first = first.select("list", "n", "x.node", "x.comp", F.explode(F.sequence(F.lit(0), cuts - 1)).alias("p"))
+    again = first.where(F.col("p") != F.pmod(F.xxhash64("node", F.lit(1)), cuts).cast("int"))
+    return own.union(again).select("*", F.lit(0).alias("q"), F.lit(0).alias("side"))
+
+
+def linked_nodes(nodes: DataFrame, threshold: int) -> DataFrame:
+    """node, component of the nodes that link with another; ``nodes`` has node and items, rows may repeat."""
+    spark = nodes.sparkSession
+    levels, hot = shingle_order(nodes)
+    members = list_members(nodes.where("items is not null"), levels, hot, threshold)
     tidy(spark)
-    degrees = members.groupBy("node").agg(F.count("*").alias("degree"))
-    members = materialise(members.join(degrees, "node"), "members")
-    ids = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = ids.join(members.select("node").distinct(), "node", "left_semi")
-    source = texts.join(chosen, "doc_id").select("node", "text")
+    met = materialise(members.select("node").distinct(), "met")
+    few = met.count() <= SENT
+    whole = nodes.where("items is not null").select("node", "items").join(F.broadcast(met) if few else met, "node", "left_semi")
+    whole = materialise(whole.dropDuplicates(["node"]).mapInArrow(_bitmaps, "node long, items binary, size long, bits binary"), "whole")
+
+    def candidates(rows: DataFrame, forest: bool) -> DataFrame:
+        rows = rows.join(whole.select("node", "size", "bits"), "node")
+        # two blocks at most: about 2 * BLOCK members in a row
+        rows = rows.groupBy("list", "n", "p", "q").agg(F.collect_list(F.struct("side", "node", "comp", "size", "bits")).alias("members"))
+        return rows.select("members").mapInArrow(lambda it: _compare(it, threshold, forest), "u long, v long").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that link, by their whole sets."""
-        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        whole = materialise(
-            source.join(nodes, "node", "left_semi").mapInArrow(lambda it: _fetch_sets(it, n), "node long, items binary"),
-            "items",
-        )
         both = (
             pairs.join(whole.select(F.col("node").alias("u"), F.col("items").alias("items_u")), "u")
             .join(whole.select(F.col("node").alias("v"), F.col("items").alias("items_v")), "v")
             .select("u", "v", "items_u", "items_v")
         )
-        links = materialise(both.mapInArrow(lambda it: _verify(it, threshold), "u long, v long").distinct(), "links")
-        discard(whole)
-        return links
-
-    # Hubs first.  In each list the node that shares most lists is the likeliest to link with
-    # the others; each node is verified against the hub it meets most often.
-    links = spark.createDataFrame([], "u long, v long")
-    tested = links
+        return materialise(both.mapInArrow(lambda it: _verify(it, threshold), "u long, v long"), "links")
+
+    links = tested = spark.createDataFrame([], "u long, v long")
     comp = spark.createDataFrame([], "node long, component long")
-    for _ in range(HUB_ROUNDS):
-        labelled = members.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-        by_degree = F.struct("degree", F.negative("node").alias("order"), "node", "comp")
-        hubs = labelled.groupBy("list").agg(
-            F.max(by_degree).alias("hub"), F.min("comp").alias("a"), F.max("comp").alias("b")
-        )
-        hubs = hubs.where("a < b").select("list", F.col("hub.node").alias("v"), F.col("hub.comp").alias("hub_comp"))
-        pairs = (
-            labelled.join(hubs, "list")
-            .where("comp != hub_comp")
-            .groupBy(F.col("node").alias("u"), "v")
-            .count()
-            .join(tested, ["u", "v"], "left_anti")
-            .groupBy("u")
-            .agg(F.max_by("v", F.struct("count", "v")).alias("v"))
-        )
-        pairs = materialise(pairs, "pairs")
+    for k in range(FOREST_ROUNDS + 1):
+        last = k == FOREST_ROUNDS
+        rows = members.join(comp, "node", "left").select("list", "n", "node", F.coalesce("component", "node").alias("comp"))
+        if k:  # lists that still span two components; a list of two holds one pair, which may have been verified
+            spans = rows.groupBy("list", "n").agg(
+                F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("node").alias("u"), F.max("node").alias("v")
+            ).where("a < b")
+            spans = spans.where("n > 2").select("list", "n").union(spans.where("n = 2").join(tested, ["u", "v"], "left_anti").select("list", "n"))
+            rows = materialise(rows.join(spans, ["list", "n"]).select("list", "n", "node", "comp"), "open")
+            if rows.isEmpty():
+                break
+        pairs = candidates(_blocks(rows) if last else _diagonal(rows), not last)
+        pairs = materialise(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            break
-        more = verified(pairs)
-        links = links.union(more)
-        tested = tested.union(pairs)
-        if more.isEmpty():
-            break
+            continue
+        links, tested = links.union(verified(pairs)), tested.union(pairs)
         comp = materialise(connected_components(links), "comp")
         tidy(spark)
-    labelled = members.join(comp, "node", "left").select("list", "node", F.coalesce("component", "node").alias("comp"))
-    tested = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    spans = labelled.groupBy("list").agg(
-        F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("n")
-    )
-    spans = spans.where("a < b").select("list", "u", "v", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("cuts"), "n")
-    # a list of two nodes holds one pair, and a hub's round may have tested it
-    pairs_left = spans.where("n = 2").join(tested, ["u", "v"], "left_anti").select("list", "cuts")
-    open_lists = spans.where("n > 2").select("list", "cuts").union(pairs_left)
-    rest = materialise(labelled.join(open_lists, "list"), "rest")
-    if rest.isEmpty():
-        final = comp
-    else:
-        maps = source.join(rest.select("node").distinct(), "node", "left_semi")
-        maps = maps.mapInArrow(lambda it: _fetch_bitmaps(it, n, threshold), "node long, size long, bits binary")
-        block = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
-        # a list of c blocks: block b takes part in the pairs (b, b), (b, x) and (x, b)
-        parts = rest.withColumn("b", block).select(
-            "list",
-            "node",
-            "comp",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(0), F.col("cuts") - 1),
-                    lambda x: F.struct(
-                        F.least(x, F.col("b")).alias("p"),
-                        F.greatest(x, F.col("b")).alias("q"),
-                        (F.col("b") > x).cast("int").alias("side"),
-                    ),
-                )
-            ).alias("at"),
-        )
-        parts = parts.join(maps, "node").select("list", "at.p", "at.q", "at.side", "node", "comp", "size", "bits")
-        more = materialise(
-            # two blocks at most: about 2 * BLOCK members in a row
-            parts.groupBy("list", "p", "q")
-            .agg(F.collect_list(F.struct("side", "node", "comp", "size", "bits")).alias("members"))
-            .select("members")
-            .mapInArrow(lambda it: _compare(it, threshold), "u long, v long")
-            .distinct(),
-            "more",
-        )
-        more = more.join(tested, ["u", "v"], "left_anti")
-        final = materialise(connected_components(links.union(verified(more))), "comp")
     discard(members)
-    tidy(spark)
+    discard(whole)
+    return comp
+
+
+def shingle_components(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs`` (see the module's text)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = materialise(texts.mapInArrow(lambda it: _describe(it, n), SETS), "sets")
+    rows = materialise(sets.where("slice is null").select("doc_id", "n_shingles", "node"), "rows")
+    comp = linked_nodes(sets, threshold)
+    discard(sets)
+    tidy(docs.sparkSession)
     # a component's id is the smallest doc_id of its nodes' documents
-    named = ids.join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("comp"))
+    ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    named = ids.join(comp, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("comp"))
     heads = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_node = named.select("node", "comp").join(heads, "comp").select("node", "component_id")
-    return sets.select("doc_id", "n_shingles", "node").join(by_node, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    return rows.join(by_node, "node", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
