@@ -12,8 +12,8 @@ How:
    ``threshold`` percent of each, so they share one of the first ``a - ceil(threshold * a / 100)
    + 1`` shingles of the one and of the other.  A node is listed under those: no link is ever
    missed, whatever the table says, and a passage that many documents share stands in few
-   lists because its shingles come last.  Lists of the same nodes are one list, and whole sets
-   are written once for the nodes that meet another.
+   lists because its shingles come last.  Lists of the same nodes are one list.  Whole sets are
+   written once, in the first pass, and only those of pairs that trees leave are read again.
 3. Signature trees.  In every list, nodes are arranged in a tree whose inner nodes hold the OR
    of the token bitmaps below and the range of sizes.  Two trees are traversed together; a pair
    of tree nodes is left as soon as sizes or bitmaps bound the overlap below the threshold, or
@@ -236,8 +236,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [bitmap(x).tobytes() for x in sets]
         sizes = [len(x) for x in sets]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), batch.column("items"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())],
-            ["node", "items", "size", "bits"],
+            [batch.column("node"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["node", "size", "bits"]
         )
 
 
@@ -458,27 +457,35 @@ def linked_nodes(nodes: DataFrame, threshold: int) -> DataFrame:
     """node, component of the nodes that link with another; ``nodes`` has node and items, rows may repeat."""
     spark = nodes.sparkSession
     levels, hot = shingle_order(nodes)
-    members = list_members(nodes.where("items is not null"), levels, hot, threshold)
+    sets = nodes.where("items is not null").select("node", "items")
+    members = list_members(sets, levels, hot, threshold)
     tidy(spark)
-    met = materialise(members.select("node").distinct(), "met")
-    few = met.count() <= SENT
-    whole = nodes.where("items is not null").select("node", "items").join(F.broadcast(met) if few else met, "node", "left_semi")
-    whole = materialise(whole.dropDuplicates(["node"]).mapInArrow(_bitmaps, "node long, items binary, size long, bits binary"), "whole")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Rows of ``sets`` whose node is wanted: whole sets are moved only where the list of nodes is long."""
+        wanted = materialise(wanted.select("node").distinct(), "wanted")
+        return sets.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "node", "left_semi")
+
+    made = sets_of(members).mapInArrow(_bitmaps, "node long, size long, bits binary")
+    maps = materialise(made.dropDuplicates(["node"]), "bitmaps")
 
     def candidates(rows: DataFrame, forest: bool) -> DataFrame:
-        rows = rows.join(whole.select("node", "size", "bits"), "node")
+        rows = rows.join(maps, "node")
         # two blocks at most: about 2 * BLOCK members in a row
         rows = rows.groupBy("list", "n", "p", "q").agg(F.collect_list(F.struct("side", "node", "comp", "size", "bits")).alias("members"))
         return rows.select("members").mapInArrow(lambda it: _compare(it, threshold, forest), "u long, v long").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that link, by their whole sets."""
+        whole = materialise(sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node"))).dropDuplicates(["node"]), "whole")
         both = (
             pairs.join(whole.select(F.col("node").alias("u"), F.col("items").alias("items_u")), "u")
             .join(whole.select(F.col("node").alias("v"), F.col("items").alias("items_v")), "v")
             .select("u", "v", "items_u", "items_v")
         )
-        return materialise(both.mapInArrow(lambda it: _verify(it, threshold), "u long, v long"), "links")
+        links = materialise(both.mapInArrow(lambda it: _verify(it, threshold), "u long, v long"), "links")
+        discard(whole)
+        return links
 
     links = tested = spark.createDataFrame([], "u long, v long")
     comp = spark.createDataFrame([], "node long, component long")
@@ -501,7 +508,7 @@ def linked_nodes(nodes: DataFrame, threshold: int) -> DataFrame:
         comp = materialise(connected_components(links), "comp")
         tidy(spark)
     discard(members)
-    discard(whole)
+    discard(maps)
     return comp
 
 

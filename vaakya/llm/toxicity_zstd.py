@@ -1,30 +1,30 @@
-"""Toxicity by compression distance between two zstandard dictionaries.
-
-The ordinary dictionary is trained on ordinary training texts.  The toxic one is made of the
-words and phrases (two or three words) of toxic texts that a likelihood-ratio test tells
-apart from ordinary ones, as many as pass it, and also carries the ordinary dictionary's
-content, so the two disagree on toxic text alone.  How high the ratio must be, and how many
-times as frequent the item, is chosen on training texts they were not learned from.  A window is one word, or a phrase the toxic
-dictionary was made with, within fixed contexts both dictionaries know; its distance is by how
-many bytes the toxic dictionary makes it shorter, summed over the contexts, which makes the
-scale finer than whole bytes of one frame.  A document's windows are compared with a ladder of
-thresholds, and a logistic model calibrates how many windows pass each; it is fitted on
-distances by dictionaries that were not made from the text at hand.
+"""Toxicity by compression distance between two trained zstandard dictionaries.
+
+One dictionary is trained on ordinary text, the other on toxic text.  A window is one word or
+two that follow each other; windows slid over a whole text are compressed under both, and a
+window's distance is by how many bytes the toxic dictionary makes it shorter.  A document is
+described by how many of its windows pass each step of a ladder of distances, and a logistic
+model, the calibrated threshold, turns that into a score.
+
+Most of a toxic text is ordinary, so what the toxic dictionary is trained on is found by
+compression too.  Training texts are dealt to folds.  A dictionary trained on the toxic texts
+of each fold alone measures the windows of the other folds' texts; windows of toxic texts that
+several such dictionaries shorten by more than they shorten nearly all windows of ordinary
+texts are toxic text, the windows of ordinary texts that they shorten as much are ordinary
+text, and both dictionaries are trained again.  How many folds must agree, and how often this
+is repeated, is chosen by the loss on texts that the dictionaries were not trained on, and so
+are the calibrating texts' distances taken.
 
 Null and empty texts and texts without a letter have no window and get the score of that
 case.  Without training rows of both kinds every score is 0.  Repeated rows are scored alike.
-Other columns are ignored.
+A row without a doc_id is scored and has a null ``held_out``.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import sys
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -36,42 +36,107 @@ from pyspark.sql import functions as F
 from vaakya.llm import textbuf as tb
 from vaakya.llm.quality_gbdt import fold, train_sample
 
-#: Labelled texts a model is fitted on at most; those with the smallest hash of doc_id.
-TRAIN_ROWS = 10_000
-ORDINARY_BYTES = 64 << 10
-#: Texts are dealt to so many parts; what a part's texts are measured by is learned from the others.
-FOLDS = 4
-#: Likelihood ratios, and how many times as frequent in toxic texts, from which a word or
-#: phrase may tell toxic texts; training takes the best pair.
-LEVELS = (1, 2, 3, 4, 6, 8, 11, 15, 20, 30, 45, 70)
-TIMES = (1, 2, 4, 8)
-#: Samples the ordinary dictionary is trained on at most, each a line or a part of a long one.
-ORDINARY_LINES, SAMPLE_BYTES = 30_000, 400
+#: Labelled texts a model is fitted on at most (those with the smallest hash of doc_id), and
+#: bytes of all their texts at most.
+TRAIN_ROWS, TRAIN_BYTES = 10_000, 64 << 20
+#: Bytes of the dictionaries, and of the segments each is trained to hold.
+ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_SEGMENT, TOXIC_SEGMENT = 128 << 10, 32 << 10, 32, 24
+#: Ordinary samples a dictionary is trained on at most, and words of a sample.
+ORDINARY_SAMPLES, SAMPLE_WORDS = 60_000, 8
+FOLDS, ROUNDS, AGREE = 4, 2, (1, 2)
+#: Ordinary texts whose windows are measured in training, for each toxic one.
+MINED = 3
+#: Share of the ordinary windows that toxic ones must be shortened more than.
+SHARE = 0.99
+MINE_WORDS = 2
 CUT = 0.5
-CACHE_WORDS = 400_000
 
-_MARK = bytes(range(1, 9))
-CONTEXTS = (_MARK, _MARK[:6], _MARK + b" the of ", b" and ")
-LADDER = (1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 18)
-# letters of ASCII and every byte of other characters
-_WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+#: What stands before each window, in dictionaries too: a frame without any match is stored raw.
+MARK = bytes(range(1, 9))
+LADDER = np.arange(1, 17)
 
+# a word is a run of ASCII letters and of bytes of other characters
+_SOLID = np.ones(256, bool)
+_SOLID[[*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
+_PLAIN = np.where(_SOLID, np.arange(256), 0x20).astype(np.uint8)
 
-def words(text: str | None) -> list[bytes]:
-    return _WORD.findall((text or "").lower().encode("utf-8", "replace"))
+
+@dataclass
+class Words:
+    """Texts as one buffer of words with one space between any two, and where words and texts begin."""
+
+    buffer: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+
+    def windows(self, words: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, text): every ``step``-th word of a text and those after it, with the spaces around."""
+        n = np.diff(self.first)
+        of = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(of))
+        keep = (at - self.first[of]) % step == 0
+        at, of = at[keep], of[keep]
+        last = np.minimum(at + words, self.first[of + 1]) - 1
+        return self.starts[at] - 1, self.ends[last] + 1, of
+
+
+def read_words(texts: list[str | None]) -> Words:
+    # a byte that is no part of a word ends each text, and one stands before the first
+    joined = b" " + b" ".join((t or "").lower().encode("utf-8", "replace").replace(b"\x00", b" ") + b" \x00" for t in texts) + b" "
+    raw = np.frombuffer(joined, np.uint8)
+    ends_text = raw == 0
+    plain = _PLAIN[raw]
+    blank = plain == 0x20
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]  # the first blank of a run
+    keep[0] = True
+    place = np.cumsum(keep)
+    buffer = plain[keep]
+    solid = buffer != 0x20
+    edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    cuts = place[ends_text]
+    return Words(buffer, starts, ends, np.concatenate([[0], np.searchsorted(starts, cuts)]).astype(np.int64))
+
+
+def gathered(buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, before: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, lengths) of ``before`` and a span of the buffer, one after the other."""
+    n, lengths = len(before), end - begin + len(before)
+    place = np.cumsum(lengths) - lengths
+    inside = np.arange(int(lengths.sum())) - np.repeat(place, lengths)
+    out = buffer[np.maximum(np.repeat(begin, lengths) + inside - n, 0)]
+    head = inside < n
+    out[head] = np.frombuffer(before, np.uint8)[inside[head]]
+    return out, lengths
+
+
+def spans(buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    whole = buffer.tobytes()
+    return [whole[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary of at most ``size`` bytes; samples too few to train on serve as they are."""
+    total = sum(map(len, samples))
+    try:
+        return zstandard.train_dictionary(max(256, min(size, total // 2)), samples, k=segment, d=6, level=3).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[:size]
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def compressor(content: bytes, fine: bool) -> zstandard.ZstdCompressor:
+    """With ``content`` before every frame; ``fine`` looks for the shortest frame, else for a quick one."""
+    held = zstandard.ZstdCompressionDict(content + 2 * MARK, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     how = zstandard.ZstdCompressionParameters(
         format=zstandard.FORMAT_ZSTD1_MAGICLESS,
-        window_log=max(17, (len(content) + 4096).bit_length()),
+        window_log=21,
         chain_log=17,
-        hash_log=17,
-        search_log=6,
-        min_match=3,
+        hash_log=18,
+        search_log=6 if fine else 1,
+        min_match=3 if fine else 4,
         target_length=64,
-        strategy=zstandard.STRATEGY_BTOPT,
+        strategy=zstandard.STRATEGY_BTOPT if fine else zstandard.STRATEGY_DFAST,
         write_content_size=False,
         write_checksum=False,
         write_dict_id=False,
@@ -80,50 +145,71 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
 
 
+def measured(by: zstandard.ZstdCompressor, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Bytes of each window's frame."""
+    out = [np.zeros(0, np.int64)]
+    for lo in range(0, len(begin), 1 << 17):
+        data, lengths = gathered(buffer, begin[lo : lo + (1 << 17)], end[lo : lo + (1 << 17)], MARK)
+        where = np.stack([np.cumsum(lengths) - lengths, lengths], 1).astype(np.uint64)
+        frames = by.multi_compress_to_buffer(zstandard.BufferWithSegments(data.tobytes(), where.tobytes()), threads=0)
+        out.append(np.fromiter(map(len, frames), np.int64, len(frames)))
+    return np.concatenate(out)
+
+
+class Ruler:
+    """Distances of windows under two dictionaries; those of single words are remembered."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes) -> None:
+        self.fine = compressor(ordinary, True), compressor(toxic, True)
+        self.quick = compressor(ordinary, False), compressor(toxic, False)
+        self.known, self.gains = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def distance(self, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, fine: bool = True) -> np.ndarray:
+        ordinary, toxic = self.fine if fine else self.quick
+        return measured(ordinary, buffer, begin, end) - measured(toxic, buffer, begin, end)
+
+    def of_words(self, text: Words) -> np.ndarray:
+        """Distance of each single word with the spaces around it."""
+        hashes = tb.word_hashes(text.buffer, text.starts, text.ends)
+        distinct, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        new = ~np.isin(distinct, self.known, assume_unique=True)
+        at = first[new]
+        known = np.concatenate([self.known, distinct[new]])
+        gains = np.concatenate([self.gains, self.distance(text.buffer, text.starts[at] - 1, text.ends[at] + 1)])
+        order = np.argsort(known)
+        self.known, self.gains = known[order], gains[order]
+        found = self.gains[np.searchsorted(self.known, distinct)][where]
+        if len(self.known) > 1_000_000:
+            self.known, self.gains = self.known[:0], self.gains[:0]
+        return found
+
+    def describe(self, text: Words) -> np.ndarray:
+        """A row a text: how many of its windows pass each step, of either kind, by count and share."""
+        n = len(text.first) - 1
+        views = [(self.of_words(text), np.repeat(np.arange(n), np.diff(text.first)))]
+        begin, end, of = text.windows(2, 2)
+        views.append((self.distance(text.buffer, begin, end, False), of))
+        parts = [np.ones((n, 1))]
+        for gains, of in views:
+            cut = np.searchsorted(of, np.arange(n + 1))
+            upto = np.concatenate([np.zeros((1, len(LADDER)), np.int64), np.cumsum(gains[:, None] >= LADDER, 0)])
+            passed, size = upto[cut[1:]] - upto[cut[:-1]], np.maximum(np.diff(cut), 1)[:, None]
+            parts += [np.log1p(passed), 30 * passed / size, np.sqrt(passed / size)]
+        return np.concatenate([*parts, np.log1p(np.diff(text.first))[:, None]], 1)
+
+
 @dataclass
 class Model:
     """Two dictionaries and the calibration; plain data, so it travels with a task."""
 
     ordinary: bytes
     toxic: bytes
-    phrases: frozenset[bytes]
     shift: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
-
-class Ruler:
-    """Distances of windows under two dictionaries, remembered by word."""
-
-    def __init__(self, ordinary: bytes, toxic: bytes, phrases: frozenset[bytes] = frozenset()) -> None:
-        self.plain, self.toxic, self.phrases = _compressor(ordinary), _compressor(toxic), phrases
-        self.known: dict[bytes, int] = {}
-
-    def distance(self, word: bytes) -> int:
-        window = b" " + word + b" "
-        return sum(len(self.plain.compress(c + window)) - len(self.toxic.compress(c + window)) for c in CONTEXTS)
-
-    def describe(self, text: str | None) -> np.ndarray:
-        found = words(text)
-        if self.phrases:
-            found += [x for x in phrases(found) if x in self.phrases]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        for word in set(found).difference(self.known):
-            self.known[word] = self.distance(word)
-        gains = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
-        passed = (gains[:, None] >= np.array(LADDER)).sum(0)
-        top = gains.max() if len(gains) else 0
-        return np.concatenate([[1, top], np.log1p(passed), 30 * passed / max(len(gains), 1), [np.log1p(len(gains))]])
-
-
-def _telling(word: bytes, toxic: Counter, plain: Counter, n_toxic: int, n_plain: int) -> float:
-    """Likelihood ratio of a word's document frequency; 0 if it is no more frequent in toxic texts."""
-    a, b = toxic[word], plain[word]
-    expected = (a + b) * n_toxic / (n_toxic + n_plain)
-    if a <= expected:
-        return 0.0
-    return 2 * (a * log(a / expected) + (b * log(b / (a + b - expected)) if b else 0.0))
+    def score(self, described: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip((described - self.shift) / self.scale @ self.weights, -30, 30)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,99 +222,80 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return shift, scale, w
 
 
-def phrases(found: list[bytes]) -> Iterator[bytes]:
-    """Two and three words that follow each other."""
-    return map(b" ".join, chain(zip(found, found[1:]), zip(found, found[1:], found[2:])))
-
-
-def _telling_items(lists: list[list[bytes]], labels: list[int]) -> list[tuple[float, float, bytes]]:
-    """Words and phrases of toxic texts by likelihood ratio, best first; a phrase only if it tells more than its words."""
-    sizes = [len(labels) - sum(labels), sum(labels)]
-    of = [Counter(), Counter()]
-    for found, label in zip(lists, labels):
-        if label:
-            of[1].update({*found, *phrases(found)})
-    # a phrase of one toxic text alone tells nothing that its words don't
-    of[1] = Counter({x: n for x, n in of[1].items() if n > 1 or b" " not in x})
-    for found, label in zip(lists, labels):
-        if not label:
-            of[0].update(of[1].keys() & {*found, *phrases(found)})
-    scores = {x: _telling(x, of[1], of[0], sizes[1], sizes[0]) for x in of[1]}
-    times = lambda x: (of[1][x] + 0.5) * sizes[0] / ((of[0][x] + 0.5) * max(sizes[1], 1))
-    told = [(v, times(x), x) for x, v in scores.items() if v > 0 and (b" " not in x or v > max(scores.get(w, 0) for w in x.split(b" ")))]
-    return sorted(told, key=lambda x: (-x[0], x[2]))
-
-
-def _dealt(labels: list[int]) -> list[int]:
-    """The fold of each text; each fold gets its share of both kinds."""
-    seen, out = Counter(), []
-    for label in labels:
-        out.append(seen[label] % FOLDS)
-        seen[label] += 1
-    return out
-
-
-def _level(lists: list[list[bytes]], labels: list[int], parts: list[list[tuple[float, float, bytes]]]) -> tuple[int, int]:
-    """From which ratio, and how many times as frequent, items tell toxic texts best that they were not learned from."""
-    y, part, best = np.array(labels, np.float64), _dealt(labels), (np.inf, LEVELS[-1], TIMES[-1])
-    rank = [{x: (v, times) for v, times, x in told} for told in parts]
-    met = [[h for x in chain(found, phrases(found)) if (h := rank[part[k]].get(x))] for k, found in enumerate(lists)]
-    of = np.repeat(np.arange(len(met)), [len(m) for m in met])
-    ratio, more = np.array([h for m in met for h in m], np.float64).reshape(-1, 2).T
-    n = np.maximum([len(found) for found in lists], 1)
-    for level in LEVELS:
-        for times in TIMES:
-            hits = np.bincount(of[(ratio >= level) & (more >= times)], minlength=len(y))
-            x = np.stack([np.ones(len(y)), np.log1p(hits), 30 * hits / n], 1)
-            shift, scale, w = _logistic(x, y)
-            p = np.clip(1 / (1 + np.exp(-np.clip((x - shift) / scale @ w, -30, 30))), 1e-9, 1 - 1e-9)
-            best = min(best, (float(-np.log(np.where(y == 1, p, 1 - p)).mean()), level, times))
-    return best[1:]
+def _samples(text: Words) -> list[bytes]:
+    return spans(text.buffer, *text.windows(SAMPLE_WORDS, SAMPLE_WORDS)[:2])
+
+
+def _distinct(text: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of MINE_WORDS words, each once a text."""
+    begin, end, of = text.windows(MINE_WORDS, 1)
+    # the polynomial hash of a span with its spaces, and its text
+    keys = tb.word_hashes(text.buffer, begin, end) ^ tb.mix(of.astype(np.uint64) + np.uint64(1))
+    first = np.unique(keys, return_index=True)[1]
+    return begin[first], end[first]
+
+
+def _some(samples: list[bytes], most: int) -> list[bytes]:
+    """At most so many, mixed; the same ones for the same samples."""
+    return [samples[k] for k in np.random.default_rng(0).permutation(len(samples))[:most]]
 
 
 def train(texts: list[str | None], labels: list[int]) -> Model | None:
     """A model, or none without texts of both kinds."""
     if len(set(labels)) < 2:
         return None
-    one: dict[bytes, bytes] = {}  # a word is held once, however often it stands in the texts
-    lists = [[one.setdefault(w, w) for w in words(t)] for t in texts]
-    part, parts = _dealt(labels), []  # what tells the texts of a fold, by all other folds
-    for f in range(FOLDS):
-        others = [k for k in range(len(lists)) if part[k] != f]
-        parts.append(_telling_items([lists[k] for k in others], [labels[k] for k in others]) if others else [])
-    level, times = _level(lists, labels, parts)
-    parts = [[x for x in told if x[0] >= level and x[1] >= times] for told in parts]
-    final = [x for x in _telling_items(lists, labels) if x[0] >= level and x[1] >= times]
-    del lists, one
-    whole = [b" " + b" ".join(words(line)) + b" " for t, y in zip(texts, labels) if not y for line in (t or "").split("\n")]
-    lines = [x[k : k + SAMPLE_BYTES] for x in whole for k in range(0, len(x), SAMPLE_BYTES)]
-    # the same lines for the same texts, in an order that mixes documents
-    lines = [lines[k] for k in np.random.default_rng(0).permutation(len(lines))[:ORDINARY_LINES]]
-    try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES, lines, k=24, d=6, level=3).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself serves
-        base = b"".join(lines)[:ORDINARY_BYTES]
-    marks = _MARK + b" the of  and "
-
-    def toxic(told: list[tuple[float, float, bytes]]) -> tuple[bytes, frozenset[bytes]]:
-        telling = [x for _, _, x in told]
-        return base + b" " + b"  ".join(reversed(telling)) + b" " + marks, frozenset(x for x in telling if b" " in x)
-
-    # a text is calibrated by a dictionary that was not made from it
-    rows = {}
-    for f, told in enumerate(parts):
-        ruler = Ruler(base + marks, *toxic(told))
-        rows |= {k: ruler.describe(t) for k, t in enumerate(texts) if part[k] == f}
-    x = np.array([rows[k] for k in range(len(texts))])
-    return Model(base + marks, *toxic(final), *_logistic(x, np.array(labels, np.float64)))
+    kinds = [[t for t, y in zip(texts, labels) if y == k] for k in (0, 1)]
+    folds = min(FOLDS, max(2, len(kinds[1])))
+    dealt = [[read_words(kind[f::folds]) for f in range(folds)] for kind in kinds]
+    few = [read_words(kinds[0][f::folds][: MINED * max(1, len(kinds[1]) // folds)]) for f in range(folds)]
+    both = [read_words(kinds[0][f::folds] + kinds[1][f::folds]) for f in range(folds)]
+    y = np.concatenate([[k] * len(kinds[k][f::folds]) for f in range(folds) for k in (0, 1)]).astype(np.float64)
+    lines = [[_samples(x) for x in kind] for kind in dealt]
+    but = lambda parts, f: [x for h in range(folds) if h != f for x in parts[h]]
+    plain = [_some(but(lines[0], f), ORDINARY_SAMPLES) for f in range(folds)]
+    plain_all = _some([x for part in lines[0] for x in part], ORDINARY_SAMPLES)
+    best: tuple[float, Model] | None = None
+    for agree in AGREE:
+        toxic, hard = lines[1], [[] for _ in range(folds)]
+        for k in range(ROUNDS + 1):
+            ordinary = [trained(plain[f] + but(hard, f), ORDINARY_BYTES, ORDINARY_SEGMENT) for f in range(folds)]
+            if k or agree == AGREE[0]:  # before the first round all are alike
+                rulers = [Ruler(ordinary[f], trained(but(toxic, f), TOXIC_BYTES, TOXIC_SEGMENT)) for f in range(folds)]
+                x = np.concatenate([rulers[f].describe(both[f]) for f in range(folds)])
+                fitted = _logistic(x, y)
+                model = Model(b"", b"", *fitted)
+                p = np.clip(model.score(x), 1e-9, 1 - 1e-9)
+                loss = float(-np.log(np.where(y == 1, p, 1 - p)).mean())
+                if best is None or loss < best[0]:
+                    model.ordinary = trained(plain_all + [x for part in hard for x in part], ORDINARY_BYTES, ORDINARY_SEGMENT)
+                    model.toxic = trained([x for part in toxic for x in part], TOXIC_BYTES, TOXIC_SEGMENT)
+                    best = loss, model
+            if k == ROUNDS:
+                break
+            alone = [compressor(trained(toxic[f], TOXIC_BYTES, TOXIC_SEGMENT), True) for f in range(folds)]
+            toxic, hard = [], []
+            for f in range(folds):
+                by = compressor(ordinary[f], True)
+
+                def gains(text: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                    begin, end = _distinct(text)
+                    shorter = np.stack([measured(alone[h], text.buffer, begin, end) for h in range(folds) if h != f])
+                    # the agree-th shortest frame of those by the other folds
+                    return begin, end, measured(by, text.buffer, begin, end) - np.sort(shorter, 0)[min(agree, folds - 1) - 1]
+
+                a, b, g = gains(few[f])
+                least = max(1.0, float(np.quantile(g, SHARE))) if len(g) else 1.0
+                hard.append(spans(few[f].buffer, a[g >= least], b[g >= least]))
+                a, b, g = gains(dealt[1][f])
+                toxic.append(spans(dealt[1][f].buffer, a[g > least], b[g > least]))
+    return best[1]
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model | None, cut: float) -> Iterator[pa.RecordBatch]:
-    ruler = Ruler(model.ordinary, model.toxic, model.phrases) if model else None
+    ruler = Ruler(model.ordinary, model.toxic) if model else None
     for batch in tb.blocks(batches):
         if model:
-            x = np.array([ruler.describe(t) for t in batch.column("text").to_pylist()])
-            scores = 1 / (1 + np.exp(-np.clip((x - model.shift) / model.scale @ model.weights, -30, 30)))
+            scores = model.score(ruler.describe(read_words(batch.column("text").to_pylist())))
         else:
             scores = np.zeros(batch.num_rows)
         yield pa.RecordBatch.from_arrays(
