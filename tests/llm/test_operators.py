@@ -483,8 +483,12 @@ def test_first_shingles_meet(rng):
         threshold, size = rng.choice((80, 90)), rng.randint(1, 60)
         base = np.unique(np.array([rng.getrandbits(64) for _ in range(size)], np.uint64))
         other = np.unique(np.concatenate([base[rng.randint(0, 4) :], np.array([rng.getrandbits(64) for _ in range(rng.randint(0, 4))], np.uint64)]))
-        levels = np.array(rng.choices(range(4), k=1 << 10), np.uint8).repeat(1 << (sigtree_join.SKETCH_BITS - 10))
-        first = [set(sigtree_join.first_shingles(x, levels, sigtree_join.prefix_size(len(x), threshold)).tolist()) for x in (base, other)]
+        level = {int(x): rng.randrange(4) for x in np.concatenate([base, other])}
+        levels = [np.array([level[int(x)] for x in items], np.uint8) for items in (base, other)]
+        first = [
+            set(x[sigtree_join.first_shingles(x, of, sigtree_join.prefix_size(len(x), threshold))].tolist())
+            for x, of in zip((base, other), levels)
+        ]
         if sigtree_join.linked(lm_backoff.pack_sorted(base), lm_backoff.pack_sorted(other), threshold):
             assert first[0] & first[1]
 

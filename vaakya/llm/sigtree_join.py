@@ -6,14 +6,15 @@ doc_id it can reach over links.
 
 How:
 
-1. One pass makes the sets.  Equal sets are one *node*, so copies never meet each other.
-2. Lists.  Shingles have one order for all sets: rarer ones first, by a table of fixed size that
-   counts all shingles of all nodes by hash, then by hash.  Linked sets of sizes a and b share
+1. One pass counts words, one makes the sets.  Equal sets are one *node*, so copies never meet each other.
+2. Lists.  Shingles have one order for all sets: first those with the rarest word, by a table of
+   fixed size that counts all words of all texts by hash, then by hash.  Linked sets of sizes a and b share
    ``threshold`` percent of each, so they share one of the first ``a - ceil(threshold * a / 100)
    + 1`` shingles of the one and of the other.  A node is listed under those: no link is ever
    missed, whatever the table says, and a passage that many documents share stands in few
-   lists because its shingles come last.  Lists of the same nodes are one list.  Whole sets are
-   written once, in the first pass, and only those of pairs that trees leave are read again.
+   lists because its words are frequent.  A list is cut where sizes are too far apart, and lists
+   of the same nodes are one list.  Whole sets are written once, and only those of pairs that
+   trees leave are read again.
 3. Signature trees.  In every list, nodes are arranged in a tree whose inner nodes hold the OR
    of the token bitmaps below and the range of sizes.  Two trees are traversed together; a pair
    of tree nodes is left as soon as sizes or bitmaps bound the overlap below the threshold, or
@@ -59,12 +60,12 @@ THRESHOLD = 90
 BLOCK = 1024
 LEAF = 8
 #: Bits of a bitmap for each shingle of a set.
-BITS_EACH = 4
+BITS_EACH = 3
 #: Rounds in which a node brings one pair a list, before the one that brings all that are left.
 FOREST_ROUNDS = 1
 #: The table of counts has 2 ** SKETCH_BITS entries, is summed in SLICES parts, and keeps
 #: STEPS levels for each doubling of a count in one byte an entry.
-SKETCH_BITS, SLICES, STEPS = 22, 64, 5
+SKETCH_BITS, SLICES, STEPS = 23, 64, 5
 #: Copies of a text are left out within a task up to so many texts; elsewhere later on.
 REMEMBERED = 1_000_000
 #: Nodes up to which their hashes are sent to every task instead of joined (8 bytes each).
@@ -76,22 +77,24 @@ def prefix_size(size: int, threshold: int) -> int:
     return size + (-threshold * size // 100) + 1
 
 
-def shingles(raw, starts, ends, lo: int, hi: int, hashed, grams, n: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of the words lo..hi."""
-    if hi - lo >= n:
-        return np.unique(grams[lo : hi - n + 1])
-    return tb.mix(tb.chain(hashed[lo:hi], hi - lo)) if hi > lo else np.zeros(0, np.uint64)
-
-
-def text_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The shingle set of each text."""
+def text_sets(column: pa.Array, n: int, levels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sorted shingle hashes of each text, and the level of each: that of its rarest word."""
     raw, offs = tb.buffers(column)
     raw = tb.LOWER[raw]
     starts, ends, first = tb.words(raw, offs)
     hashed = tb.word_hashes(raw, starts, ends)
-    grams = tb.chain(hashed, n)
+    rare = levels[(hashed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    grams, least = tb.chain(hashed, n), rare[: max(len(rare) - n + 1, 0)].copy()
+    for k in range(1, n):
+        np.minimum(least, rare[k : k + len(least)], out=least)
     for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
-        yield shingles(raw, starts, ends, lo, hi, hashed, grams, n)
+        if hi - lo >= n:
+            items, at = np.unique(grams[lo : hi - n + 1], return_index=True)
+            yield items, least[lo : hi - n + 1][at]
+        elif hi > lo:
+            yield tb.mix(tb.chain(hashed[lo:hi], hi - lo)), rare[lo:hi].min(keepdims=True)
+        else:
+            yield np.zeros(0, np.uint64), np.zeros(0, np.uint8)
 
 
 def node_of(items: np.ndarray) -> int:
@@ -106,43 +109,42 @@ def bitmap(items: np.ndarray) -> np.ndarray:
     return np.packbits(flags)
 
 
-SETS = "doc_id long, n_shingles long, node long, items binary, slice int, part int, counts binary"
+COUNTS = "slice int, part int, counts binary"
+SETS = "doc_id long, n_shingles long, node long, items binary, usual array<long>, hot array<long>"
 
 
-def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """A row a document, with the set where the task has not met it before; then rows of counts."""
-    schema = pa.schema(
-        [(c, pa.binary() if c in ("items", "counts") else pa.int32() if c in ("slice", "part") else pa.int64()) for c in _names(SETS)]
-    )
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a task by hash, in SLICES rows."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+    for batch in tb.blocks(batches):
+        raw, offs = tb.buffers(batch.column("text"))
+        raw = tb.LOWER[raw]
+        starts, ends, _ = tb.words(raw, offs)
+        np.add.at(counts, (tb.word_hashes(raw, starts, ends) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+    if counts.any():
+        packed = [_pack_counts(x) for x in counts.reshape(SLICES, -1)]
+        columns = [pa.array(list(range(SLICES)), pa.int32()), pa.array([TaskContext.get().partitionId()] * SLICES, pa.int32())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], ["slice", "part", "counts"])
+
+
+def _describe(batches: Iterator[pa.RecordBatch], n: int, threshold: int, levels: np.ndarray, hot: int) -> Iterator[pa.RecordBatch]:
+    """A row a document, with the set and its first shingles where the task has not met the set before."""
     seen: set[int] = set()
     for batch in tb.blocks(batches):
-        ids, sizes, nodes, sets, new = batch.column("doc_id").to_pylist(), [], [], [], []
-        for items in text_sets(batch.column("text"), n):
+        rows: list[tuple] = []
+        for doc_id, (items, level) in zip(batch.column("doc_id").to_pylist(), text_sets(batch.column("text"), n, levels)):
             node = node_of(items) if len(items) else None
-            sizes.append(len(items))
-            nodes.append(node)
             if node is None or node in seen:
-                sets.append(None)
+                rows.append((doc_id, len(items), node, None, None, None))
                 continue
             if len(seen) < REMEMBERED:
                 seen.add(node)
-            sets.append(pack_sorted(items))
-            new.append(items)
-        if new:
-            at = (np.concatenate(new) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-            np.add.at(counts, at, 1)
-        none = [None] * len(ids)
-        yield pa.RecordBatch.from_pydict(dict(zip(_names(SETS), (ids, sizes, nodes, sets, none, none, none))), schema)
-    if counts.any():
-        part, none = TaskContext.get().partitionId(), [None] * SLICES
-        packed = [_pack_counts(x) for x in counts.reshape(SLICES, -1)]
-        row = (none, none, none, none, list(range(SLICES)), [part] * SLICES, packed)
-        yield pa.RecordBatch.from_pydict(dict(zip(_names(SETS), row)), schema)
-
-
-def _names(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.split(", ")]
+            first = first_shingles(items, level, prefix_size(len(items), threshold))
+            many = level[first] >= hot
+            keys = items[first].view(np.int64)
+            rows.append((doc_id, len(items), node, pack_sorted(items), keys[~many], keys[many]))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in SETS.split(", ")])
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
@@ -167,41 +169,24 @@ def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "levels": [level.tobytes()]})
 
 
-def first_shingles(items: np.ndarray, levels: np.ndarray, k: int) -> np.ndarray:
-    """The ``k`` first of a sorted set, by level and then by hash."""
-    level = levels[(items >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    if k < len(items):
-        cut = np.partition(level, k - 1)[k - 1]
-        below, at = items[level < cut], items[level == cut]
-        return np.concatenate([below, at[: k - len(below)]])
-    return items
+def first_shingles(items: np.ndarray, level: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` first of a sorted set, by level and then by hash."""
+    if k >= len(items):
+        return np.arange(len(items))
+    cut = np.partition(level, k - 1)[k - 1]
+    below = np.flatnonzero(level < cut)
+    return np.concatenate([below, np.flatnonzero(level == cut)[: k - len(below)]])
 
 
-def _list(batches: Iterator[pa.RecordBatch], levels: np.ndarray, hot: int, threshold: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, sizes = [], []
-        for data in batch.column("items"):
-            items = unpack_sorted(data.as_buffer())
-            first = first_shingles(items, levels, prefix_size(len(items), threshold))
-            keys.append(first)
-            sizes.append(len(first))
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        node = np.repeat(batch.column("node").to_numpy(), sizes)
-        many = levels[(flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] >= hot
-        for lo in range(0, len(flat), 1 << 20):
-            part = slice(lo, lo + (1 << 20))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[part].view(np.int64)), pa.array(node[part]), pa.array(many[part])], ["list", "node", "hot"]
-            )
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nodes of each list of two or more, from rows in order of list and node; the list's name is theirs."""
-
-    def lists(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch | None:
+def _runs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """The nodes of each list of two or more, from rows in order of list, size and node; the list's name is theirs."""
+
+    def lists(key: np.ndarray, node: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch | None:
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])  # a node is listed once
-        key, node = key[new], node[new]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, node, sizes = key[new], node[new], sizes[new]
+        # of one key, sizes that are too far apart for a link are two lists
+        apart = 100 * sizes[:-1] < threshold * sizes[1:]
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | apart]))
         size = np.diff(np.append(start, len(key)))
         name = np.add.reduceat(tb.mix(node.view(np.uint64)), start)  # of the set, whatever its key
         keep = size > 1
@@ -216,17 +201,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(name.view(np.int64)), pa.array(node[start]), members], ["list", "first", "members"]
         )
 
-    key = node = np.zeros(0, np.int64)
+    key = node = size = np.zeros(0, np.int64)
     for batch in batches:
         key = np.concatenate([key, batch.column("list").to_numpy()])
         node = np.concatenate([node, batch.column("node").to_numpy()])
+        size = np.concatenate([size, batch.column("size").to_numpy()])
         if len(key) < 1 << 18:
             continue
         end = int(np.searchsorted(key, key[-1]))  # the last list may go on
-        if end and (out := lists(key[:end], node[:end])) is not None:
+        if end and (out := lists(key[:end], node[:end], size[:end])) is not None:
             yield out
-        key, node = key[end:], node[end:]
-    if len(key) and (out := lists(key, node)) is not None:
+        key, node, size = key[end:], node[end:], size[end:]
+    if len(key) and (out := lists(key, node, size)) is not None:
         yield out
 
 
@@ -390,9 +376,9 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int, forest: bool) ->
 # --- the join -------------------------------------------------------------------------
 
 
-def shingle_order(sets: DataFrame) -> tuple[np.ndarray, int]:
+def word_levels(texts: DataFrame) -> tuple[np.ndarray, int]:
     """(levels, hot): the level of each entry of the table, and from which one a list may be long."""
-    counts = sets.where("slice is not null").select("slice", "part", "counts")
+    counts = materialise(texts.mapInArrow(_count, COUNTS), "counts")
     some = counts.groupBy("slice", F.pmod("part", F.lit(1024)).alias("group")).applyInPandas(_sum_counts, "slice int, counts binary")
     rows = some.groupBy("slice").applyInPandas(_levels, "slice int, levels binary").collect()  # one byte an entry of the table
     if not rows:
@@ -402,21 +388,16 @@ def shingle_order(sets: DataFrame) -> tuple[np.ndarray, int]:
     return levels, min(255, int(np.ceil(STEPS * np.log2(max(2 * usual, usual + 4 * BLOCK)))))
 
 
-def list_members(nodes: DataFrame, levels: np.ndarray, hot: int, threshold: int) -> DataFrame:
+def list_members(nodes: DataFrame, threshold: int) -> DataFrame:
     """list, node, n: the lists of two nodes or more, with their sizes."""
-    rows = materialise(
-        nodes.select("node", "items").mapInArrow(lambda it: _list(it, levels, hot, threshold), "list long, node long, hot boolean"),
-        "lists",
-    )
-    usual = rows.where("not hot").select("list", "node").repartition("list").sortWithinPartitions("list", "node")
-    usual = usual.mapInArrow(_runs, "list long, first long, members array<long>").withColumn("n", F.size("members"))
+    usual = nodes.select(F.explode("usual").alias("list"), "node", F.col("n_shingles").alias("size"))
+    usual = usual.repartition("list").sortWithinPartitions("list", "size", "node")
+    usual = usual.mapInArrow(lambda it: _runs(it, threshold), "list long, first long, members array<long>").withColumn("n", F.size("members"))
     usual = usual.dropDuplicates(["list", "first", "n"]).select("list", F.explode("members").alias("node"), F.col("n").cast("long"))
     # what may be long is counted before it is dealt, and dealt by joins that split large keys
-    long = rows.where("hot").select("list", "node").distinct()
+    long = nodes.select(F.explode("hot").alias("list"), "node").distinct()
     sizes = long.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
-    found = materialise(usual.union(long.join(sizes, "list").select("list", "node", "n")), "members")
-    discard(rows)
-    return found
+    return materialise(usual.union(long.join(sizes, "list").select("list", "node", "n")), "members")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -454,11 +435,11 @@ def _diagonal(members: DataFrame) -> DataFrame:
 
 
 def linked_nodes(nodes: DataFrame, threshold: int) -> DataFrame:
-    """node, component of the nodes that link with another; ``nodes`` has node and items, rows may repeat."""
+    """node, component of the nodes that link with another, from rows of SETS; nodes may repeat."""
     spark = nodes.sparkSession
-    levels, hot = shingle_order(nodes)
-    sets = nodes.where("items is not null").select("node", "items")
-    members = list_members(sets, levels, hot, threshold)
+    sets = nodes.where("items is not null")
+    members = list_members(sets, threshold)
+    sets = sets.select("node", "items")
     tidy(spark)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -515,8 +496,9 @@ def linked_nodes(nodes: DataFrame, threshold: int) -> DataFrame:
 def shingle_components(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (see the module's text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialise(texts.mapInArrow(lambda it: _describe(it, n), SETS), "sets")
-    rows = materialise(sets.where("slice is null").select("doc_id", "n_shingles", "node"), "rows")
+    levels, hot = word_levels(texts.select("text"))
+    sets = materialise(texts.mapInArrow(lambda it: _describe(it, n, threshold, levels, hot), SETS), "sets")
+    rows = materialise(sets.select("doc_id", "n_shingles", "node"), "rows")
     comp = linked_nodes(sets, threshold)
     discard(sets)
     tidy(docs.sparkSession)
