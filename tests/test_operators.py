@@ -321,3 +321,25 @@ def test_snr(spark):
 
 def test_fixed_values():
     assert len(fixed.core_words()) == 359 and len(fixed.SUFFIXES) == 46 and len(fixed.TRANSLITERATIONS) == 67
+
+
+def test_alignment_of_long_texts(spark):
+    """Rows of costs and pairs of words take space in proportion to a text, not to its square."""
+    rng = random.Random(3)
+    reference = [f"w{rng.randint(0, 400)}" for _ in range(20_000)]
+    hypothesis = [w if rng.random() > 0.1 else rng.choice(("x", "w1")) for w in reference if rng.random() > 0.05]
+    rows = spark.createDataFrame([(reference, hypothesis)], "r array<string>, h array<string>")
+    ops = align.operations(reference, hypothesis)
+    assert len(ops.replace("I", "")) == len(reference) and len(ops.replace("D", "")) == len(hypothesis)
+    got = rows.select(align.pairs(F.col("r"), F.col("h"), F.lit(ops)).alias("p")).first()["p"]
+    assert [p["ref"] for p in got if p["op"] != "insertion"] == reference
+    assert [p["hyp"] for p in got if p["op"] != "deletion"] == hypothesis
+    assert all((p["ref"] == p["hyp"]) == (p["op"] == "correct") for p in got)
+
+
+def test_segments_of_unknown_recordings_are_rejected(spark):
+    parts = spark.createDataFrame([("a", 0, 0.0, 2.0, "one"), ("b", 0, 0.0, 2.0, "two")], "recording_id string, segment_index int, start double, end double, text string")
+    known = spark.createDataFrame([("a", "a.wav", 10.0)], "recording_id string, audio_path string, audio_duration double")
+    valid, rejected = segments.manifest(parts, known)
+    assert [r["recording_id"] for r in valid.collect()] == ["a"]
+    assert [(r["recording_id"], r["reason_code"]) for r in rejected.collect()] == [("b", segments.UNKNOWN_AUDIO)]

@@ -8,6 +8,7 @@ counts, rates) is a native expression over that string and the two word arrays.
 from __future__ import annotations
 
 import sys
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vaakya.functions.arrays import let, running
+
 EPSILON = "<eps>"
 NAMES = {"C": "correct", "S": "substitution", "D": "deletion", "I": "insertion"}
 
@@ -31,29 +34,41 @@ def operations(reference, hypothesis) -> str:
     hyp = np.array([codes.setdefault(w, len(codes)) for w in hypothesis], np.int64)
     n, m = len(ref), len(hyp)
     steps = np.arange(m + 1)
-    cost = np.empty((n + 1, m + 1), np.int64)
-    cost[0] = steps
-    for i in range(1, n + 1):
-        above = cost[i - 1]
+
+    def following(above: np.ndarray, i: int) -> np.ndarray:
         row = above + 1
         row[1:] = np.minimum(row[1:], above[:-1] + (hyp != ref[i - 1]))
         # an insertion costs one more than its left neighbour: a running minimum along the row
-        cost[i] = np.minimum.accumulate(row - steps) + steps
+        return np.minimum.accumulate(row - steps) + steps
+
+    # every k-th row of costs is kept, and the rows between two of them are made again on the way back
+    every = max(1, isqrt(n))
+    kept, row = [steps.copy()], steps
+    for i in range(1, n + 1):
+        row = following(row, i)
+        if i % every == 0:
+            kept.append(row)
     out, i, j = [], n, m
-    while i or j:
-        if i and j and ref[i - 1] == hyp[j - 1]:
-            out.append("C")
-            i, j = i - 1, j - 1
-        elif i and j and cost[i, j] == cost[i - 1, j - 1] + 1:
-            out.append("S")
-            i, j = i - 1, j - 1
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            out.append("D")
-            i -= 1
-        else:
-            out.append("I")
-            j -= 1
-    return "".join(reversed(out))
+    while i:
+        low = (i - 1) // every * every
+        cost = [kept[low // every]]
+        for k in range(low + 1, i + 1):
+            cost.append(following(cost[-1], k))
+        while i > low:
+            here, above = cost[i - low], cost[i - 1 - low]
+            if j and ref[i - 1] == hyp[j - 1]:
+                out.append("C")
+                i, j = i - 1, j - 1
+            elif j and here[j] == above[j - 1] + 1:
+                out.append("S")
+                i, j = i - 1, j - 1
+            elif here[j] == above[j] + 1:
+                out.append("D")
+                i -= 1
+            else:
+                out.append("I")
+                j -= 1
+    return "I" * j + "".join(reversed(out))
 
 
 def _words(value) -> list:
@@ -72,23 +87,29 @@ def align_each(reference: pd.Series, hypotheses: pd.Series) -> pd.Series:
     return pd.Series([[operations(_words(r), _words(h)) for h in _words(hs)] for r, hs in zip(reference, hypotheses)])
 
 
+def placed(ops: Column) -> Column:
+    """array<struct<op, ref_at, hyp_at>>: each operation and how many words of either side it comes to."""
+
+    def all_of(letters: Column) -> Column:
+        without = lambda letter: running(F.transform(letters, lambda x: (x != letter).cast("int")))
+        both = F.zip_with(without("I"), without("D"), lambda i, j: F.struct(i.alias("i"), j.alias("j")))
+        return F.zip_with(letters, both, lambda x, at: F.struct(x.alias("op"), at["i"].alias("ref_at"), at["j"].alias("hyp_at")))
+
+    return let(F.regexp_extract_all(ops, F.lit("."), F.lit(0)), all_of)
+
+
 def pairs(reference: Column, hypothesis: Column, ops: Column) -> Column:
-    """array<struct<ref, hyp, op>> of an alignment; the side without a word has ``<eps>``."""
-
-    def one(k: Column) -> Column:
-        done = F.substring(ops, F.lit(1), k)
-        op = F.substring(ops, k, F.lit(1))
-        ref = F.element_at(reference, F.length(F.replace(done, F.lit("I"), F.lit(""))))
-        hyp = F.element_at(hypothesis, F.length(F.replace(done, F.lit("D"), F.lit(""))))
-        names = F.create_map(*[F.lit(x) for p in NAMES.items() for x in p])
-        return F.struct(
-            F.when(op == "I", F.lit(EPSILON)).otherwise(ref).alias("ref"),
-            F.when(op == "D", F.lit(EPSILON)).otherwise(hyp).alias("hyp"),
-            F.element_at(names, op).alias("op"),
-        )
-
-    empty = F.array().cast("array<struct<ref:string,hyp:string,op:string>>")
-    return F.when(F.length(ops) > 0, F.transform(F.sequence(F.lit(1), F.length(ops)), one)).otherwise(empty)
+    """array<struct<ref, hyp, op, ref_at>> of an alignment; the side without a word has ``<eps>``."""
+    names = F.create_map(*[F.lit(x) for p in NAMES.items() for x in p])
+    return F.transform(
+        placed(ops),
+        lambda p: F.struct(
+            F.when(p["op"] == "I", F.lit(EPSILON)).otherwise(F.get(reference, p["ref_at"] - 1)).alias("ref"),
+            F.when(p["op"] == "D", F.lit(EPSILON)).otherwise(F.get(hypothesis, p["hyp_at"] - 1)).alias("hyp"),
+            F.element_at(names, p["op"]).alias("op"),
+            p["ref_at"].alias("ref_at"),
+        ),
+    )
 
 
 def count_of(ops: Column, letter: str) -> Column:

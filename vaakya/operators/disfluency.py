@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaakya.functions import fixed
+from vaakya.functions.arrays import let
 from vaakya.functions.text import clean_token, fixed_point, nfc, tokens
 
 DETECTION = (
@@ -50,17 +51,19 @@ def _detection(type_: str | Column, category: str | Column, text: Column, **more
     return F.struct(lit(type_).alias("type"), lit(category).alias("category"), text.alias("detected_text"), *rest)
 
 
-def fillers(words: Column) -> Column:
+def fillers(words: Column, cleaned: Column) -> Column:
     """Tokens that, as they stand in lower case or without marks, are markers."""
     book = _markers()
-    ranks = {c: k for k, c in enumerate(fixed.MARKERS)}
-    rank = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
+    names = list(dict.fromkeys(m for _, _, m in lexicon_rows()))
+    ranks = F.create_map(*[F.lit(x) for k, c in enumerate(fixed.MARKERS) for x in (c, k)])
 
     def one(word: Column, at: Column) -> Column:
-        found = [F.element_at(book, clean_token(word)), F.element_at(book, F.lower(word))]
+        plain, lower = F.get(cleaned, at), F.lower(word)
+        found = F.transform(F.filter(F.array(plain, lower), lambda x: x.isin(names)), lambda x: F.element_at(book, x))
         # either form may be a marker: the earlier category counts
-        best = F.array_min(F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.element_at(rank, c).alias("r"), c.alias("c"))) for c in found])))
-        return F.when(best.isNotNull(), _detection("filler", best["c"], word, positions=F.array(at)))
+        best = F.array_min(F.transform(found, lambda c: F.struct(F.element_at(ranks, c).alias("r"), c.alias("c"))))
+        # few tokens are markers: a set lookup tells, and only hits look further
+        return F.when(plain.isin(names) | lower.isin(names), _detection("filler", best["c"], word, positions=F.array(at)))
 
     return F.array_compact(F.transform(words, one))
 
@@ -113,21 +116,17 @@ def false_starts(text: Column) -> Column:
     )
 
 
-def _let(value: Column, use) -> Column:
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def detections(text: Column) -> Column:
     """All detections of a segment's text in order; null and blank texts have none."""
 
     def all_of(words: Column) -> Column:
         cleaned = F.transform(words, clean_token)
-        return _let(
+        return let(
             cleaned,
-            lambda c: F.concat(fillers(words), word_repetitions(words, c), phrase_repetitions(words, c), prolongations(words), false_starts(text)),
+            lambda c: F.concat(fillers(words, c), word_repetitions(words, c), phrase_repetitions(words, c), prolongations(words), false_starts(text)),
         )
 
-    found = _let(tokens(nfc(text)), all_of)
+    found = let(tokens(nfc(text)), all_of)
     return F.coalesce(found, F.array().cast(f"array<{DETECTION}>"))
 
 

@@ -10,16 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaakya.functions import fixed
+from vaakya.functions.arrays import let
 from vaakya.functions.text import normalize_for_wer, percent, tokens
 from vaakya.operators.align import EPSILON, NAMES, align, align_each, metrics, pairs
 
 MODELS = "array<struct<model_idx:int,name:string,hyp:string>>"
 
 
-def _let(value: Column, use) -> Column:
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def aligned(utterances: DataFrame) -> DataFrame:
     """``utterances(utt_id, reference, models)`` with normalised words and each system's operations.
 
@@ -45,18 +42,29 @@ def cells(lines: DataFrame) -> DataFrame:
     Insertions stand before ``ref_pos`` and are numbered; all are kept.
     """
     each = lines.select("utt_id", "ref_words", F.explode("models").alias("m")).select(
-        "utt_id", F.col("m.model_idx").alias("model_idx"), pairs(F.col("ref_words"), F.col("m.words"), F.col("m.ops")).alias("p"), F.col("m.ops").alias("ops")
+        "utt_id", F.col("m.model_idx").alias("model_idx"), pairs(F.col("ref_words"), F.col("m.words"), F.col("m.ops")).alias("p")
+    )
+    # an operation's number among those at its place: the last one that is no insertion came to the place
+    solid = lambda p: F.filter(F.transform(p, lambda c, k: F.when(c["op"] != NAMES["I"], k)), lambda k: k.isNotNull())
+    numbered = let(
+        F.struct(F.col("p").alias("p"), solid(F.col("p")).alias("s")),
+        lambda x: F.transform(
+            x["p"],
+            lambda c, k: F.struct(
+                c["ref_at"],
+                (k - 1 - F.coalesce(F.get(x["s"], c["ref_at"] - 1), F.lit(-1))).alias("nth"),
+                c["ref"],
+                c["hyp"],
+                c["op"],
+            ),
+        ),
     )
-    rows = each.select("utt_id", "model_idx", "ops", F.posexplode("p").alias("k", "c"))
-    done = F.substring(F.col("ops"), F.lit(1), F.col("k"))
-    # insertions right before this place, in one run
-    run = F.length(F.regexp_extract(done, "(I*)$", 1))
-    return rows.select(
+    return each.select("utt_id", "model_idx", F.explode(numbered).alias("c")).select(
         "utt_id",
-        F.length(F.replace(done, F.lit("I"), F.lit(""))).alias("ref_pos"),
+        (F.col("c.ref_at") - (F.col("c.op") != NAMES["I"]).cast("int")).alias("ref_pos"),
         (F.col("c.op") == NAMES["I"]).alias("is_insertion"),
         "model_idx",
-        F.when(F.col("c.op") == NAMES["I"], run).alias("nth"),
+        F.when(F.col("c.op") == NAMES["I"], F.col("c.nth")).alias("nth"),
         F.col("c.ref").alias("ref_word"),
         F.col("c.hyp").alias("word"),
         F.col("c.op").alias("op"),
@@ -117,7 +125,7 @@ def consensus(words: Column, threshold: int = fixed.CONSENSUS) -> Column:
         )
         return F.struct(F.when(enough & (F.size(v) > 0), best["w"]).alias("word"), n.alias("votes"), reason.alias("reason"))
 
-    return _let(voting, decide)
+    return let(voting, decide)
 
 
 def voted(lines: DataFrame, threshold: int = fixed.CONSENSUS) -> DataFrame:
@@ -127,9 +135,9 @@ def voted(lines: DataFrame, threshold: int = fixed.CONSENSUS) -> DataFrame:
 
     def at(word: Column, k: Column) -> Column:
         words = F.transform("_by_model", lambda row: F.get(row, k))
-        return _let(
+        return let(
             words,
-            lambda w: _let(
+            lambda w: let(
                 consensus(w, threshold),
                 lambda c: F.struct(
                     k.alias("position"),

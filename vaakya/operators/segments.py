@@ -65,8 +65,11 @@ def validate(segments: DataFrame) -> DataFrame:
 
 
 def manifest(segments: DataFrame, recordings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected) segments of ``segments`` joined to ``recordings(recording_id, audio_path, audio_duration)``."""
-    judged = validate(segments.join(recordings, "recording_id"))
+    """(valid, rejected) segments of ``segments`` joined to ``recordings(recording_id, audio_path, audio_duration)``.
+
+    A segment of a recording that ``recordings`` lacks is rejected for its unknown duration.
+    """
+    judged = validate(segments.join(recordings, "recording_id", "left"))
     valid = judged.where("reason_code = 'OK'").select(
         "audio_path",
         clean_text(F.col("text")).alias("text"),
