@@ -20,9 +20,10 @@ How:
    of tree nodes is left as soon as sizes or bitmaps bound the overlap below the threshold, or
    all below is one component.  Surviving pairs are verified on their whole sets.
 4. Rounds.  At first each node brings the surviving pair of the largest possible overlap with a
-   node before it in its list, so a list of n nodes brings n - 1 pairs at most; verified pairs
-   make components.  The last round brings every surviving pair that joins two components and
-   was not verified before.
+   node before it in its list, so a list of n nodes brings n - 1 pairs at most, and of long
+   lists a node's first ones alone; verified pairs make components.  The last round brings
+   every surviving pair that joins two components and was not verified before, in the first of
+   the long lists that have both.
 
 Lists of any length are handled: long ones are cut into blocks, and blocks are compared with
 blocks of those nodes alone that are not in the list's largest component.
@@ -61,6 +62,9 @@ BLOCK = 1024
 LEAF = 8
 #: Bits of a bitmap for each shingle of a set.
 BITS_EACH = 3
+#: Lists of more nodes are long.  A node carries the names of the first CARRIED long lists it is
+#: in, which tell a pair's first common one; rounds before the last look at the first FEW alone.
+LONG, CARRIED, FEW = 32, 32, 2
 #: Rounds in which a node brings one pair a list, before the one that brings all that are left.
 FOREST_ROUNDS = 1
 #: The table of counts has 2 ** SKETCH_BITS entries, is summed in SLICES parts, and keeps
@@ -336,20 +340,43 @@ def best_earlier(tree: SignatureTree, i: np.ndarray, j: np.ndarray) -> np.ndarra
     return order[np.concatenate([[True], j[order][1:] != j[order][:-1]])] if len(order) else order
 
 
-def compare_list(nodes, side, sizes, comps, maps: list[bytes], threshold: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs within one list or block (all of side 0), or between two (sides 0 and 1)."""
+def met_before(name: int, longs: list[list[int]], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which pairs of members are together in a long list that comes before ``name``."""
+    at = np.repeat(np.arange(len(longs)), [len(x) for x in longs])
+    flat = np.array([x for row in longs for x in row], np.int64)
+    at, flat = at[flat < name], flat[flat < name]
+    earlier, place = np.unique(flat, return_inverse=True)
+    flags = np.zeros((len(longs), len(earlier)), bool)
+    flags[at, place] = True
+    bits, out = np.packbits(flags, axis=1), np.zeros(len(u), bool)
+    for lo in range(0, len(u), 1 << 16):
+        part = slice(lo, lo + (1 << 16))
+        out[part] = (bits[u[part]] & bits[v[part]]).any(1)
+    return out
+
+
+def compare_list(
+    name: int, nodes, side, sizes, comps, maps: list[bytes], longs: list[list[int]], threshold: int, forest: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs within one list or block (all of side 0), or between two (sides 0 and 1).
+
+    A pair that is together in an earlier long list is left to that one.
+    """
     bits = fold(maps)
     order = np.lexsort((nodes, *bits[:, 7::-1].T, sizes))
     trees = []
     for s in (0, 1):
         at = order[side[order] == s]
-        trees.append((nodes[at], comps[at], SignatureTree(bits[at], sizes[at], comps[at])) if len(at) else None)
+        trees.append((nodes[at], comps[at], SignatureTree(bits[at], sizes[at], comps[at]), at) if len(at) else None)
     if trees[0] is None:
         return nodes[:0], nodes[:0]
     x, y = trees[0], trees[1] or trees[0]
     i, j = traverse(x[2], y[2], threshold, trees[1] is None)
     ok = x[1][i] != y[1][j]
     i, j = i[ok], j[ok]
+    if any(longs):
+        ok = ~met_before(name, longs, x[3][i], y[3][j])
+        i, j = i[ok], j[ok]
     if forest and trees[1] is None:
         at = best_earlier(x[2], i, j)
         i, j = i[at], j[at]
@@ -359,14 +386,16 @@ def compare_list(nodes, side, sizes, comps, maps: list[bytes], threshold: int, f
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: int, forest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        members = batch.column("members")
+        members, names, lengths = batch.column("members"), batch.column("list").to_pylist(), batch.column("n").to_pylist()
         ends, flat = members.offsets.to_numpy(), members.values
         nodes, side, sizes, comps = (flat.field(k).to_numpy() for k in ("node", "side", "size", "comp"))
         maps = flat.field("bits")
         pairs = [(nodes[:0], nodes[:0])]
-        for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        longs = flat.field("longs")
+        for name, n, lo, hi in zip(names, lengths, ends[:-1].tolist(), ends[1:].tolist()):
             part = slice(lo, hi)
-            pairs.append(compare_list(nodes[part], side[part], sizes[part], comps[part], maps[lo:hi].to_pylist(), threshold, forest))
+            known = longs[lo:hi].to_pylist() if n > LONG else []
+            pairs.append(compare_list(name, nodes[part], side[part], sizes[part], comps[part], maps[lo:hi].to_pylist(), known, threshold, forest))
         u, v = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
         if len(u):
             u, v = np.unique(np.stack([u, v]), axis=1)
@@ -448,13 +477,19 @@ def linked_nodes(nodes: DataFrame, threshold: int) -> DataFrame:
         return sets.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "node", "left_semi")
 
     made = sets_of(members).mapInArrow(_bitmaps, "node long, size long, bits binary")
-    maps = materialise(made.dropDuplicates(["node"]), "bitmaps")
+    # a node's own lists, no more than its first shingles
+    longs = members.where(F.col("n") > LONG).groupBy("node").agg(F.slice(F.array_sort(F.collect_set("list")), 1, CARRIED).alias("longs"))
+    none = F.array().cast("array<bigint>")
+    maps = made.dropDuplicates(["node"]).join(longs, "node", "left").withColumn("longs", F.coalesce("longs", none))
+    maps = materialise(maps, "bitmaps")
 
     def candidates(rows: DataFrame, forest: bool) -> DataFrame:
         rows = rows.join(maps, "node")
+        if forest:
+            rows = rows.where((F.col("n") <= LONG) | F.array_contains(F.slice("longs", 1, FEW), F.col("list")))
         # two blocks at most: about 2 * BLOCK members in a row
-        rows = rows.groupBy("list", "n", "p", "q").agg(F.collect_list(F.struct("side", "node", "comp", "size", "bits")).alias("members"))
-        return rows.select("members").mapInArrow(lambda it: _compare(it, threshold, forest), "u long, v long").distinct()
+        rows = rows.groupBy("list", "n", "p", "q").agg(F.collect_list(F.struct("side", "node", "comp", "size", "bits", "longs")).alias("members"))
+        return rows.select("list", "n", "members").mapInArrow(lambda it: _compare(it, threshold, forest), "u long, v long").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that link, by their whole sets."""
@@ -470,7 +505,7 @@ def linked_nodes(nodes: DataFrame, threshold: int) -> DataFrame:
 
     links = tested = spark.createDataFrame([], "u long, v long")
     comp = spark.createDataFrame([], "node long, component long")
-    for k in range(FOREST_ROUNDS + 1):
+    for k in range(FOREST_ROUNDS + 1):  # one plan a round, however many lists there are
         last = k == FOREST_ROUNDS
         rows = members.join(comp, "node", "left").select("list", "n", "node", F.coalesce("component", "node").alias("comp"))
         if k:  # lists that still span two components; a list of two holds one pair, which may have been verified
