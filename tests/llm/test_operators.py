@@ -504,8 +504,9 @@ def test_join_of_a_family(spark, rng, monkeypatch):
         texts.append((k, " ".join(words)))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     expected = links_by_hand(texts)
-    for rounds, block in ((0, 8), (1, 8), (1, 2048)):
+    for rounds, block, long in ((0, 8, 4), (1, 8, 100), (1, 2048, 4)):
         monkeypatch.setattr(sigtree_join, "FOREST_ROUNDS", rounds)
+        monkeypatch.setattr(sigtree_join, "LONG", long)
         monkeypatch.setattr(sigtree_join, "BLOCK", block)
         assert {tuple(r) for r in sigtree_join.shingle_components(docs).collect()} == expected
 
