@@ -61,7 +61,7 @@ THRESHOLD = 90
 BLOCK = 1024
 LEAF = 8
 #: Bits of a bitmap for each shingle of a set.
-BITS_EACH = 3
+BITS_EACH = 2
 #: Lists of more nodes are long.  A node carries the names of the first CARRIED long lists it is
 #: in, which tell a pair's first common one; rounds before the last look at the first FEW alone.
 LONG, CARRIED, FEW = 32, 32, 2
