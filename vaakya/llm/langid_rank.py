@@ -6,8 +6,10 @@ KEPT most frequent n-grams in order, from a bounded sample of labelled texts.  A
 n-grams are ranked the same way over its whole text; each costs the difference of its ranks
 in the two profiles, or KEPT if the language does not have it.  The least sum wins.
 
-A null text, an empty text and a text without a letter are ``und`` with score 0; so is every
-text if no row with a language may be learned from.  Equal distances go to the language that
+A letter is what Unicode calls one, in every plane.  A null text, an empty text and a text
+without a letter are ``und`` with score 0; so is every text if no row with a language may be
+learned from.  A row without a doc_id is predicted, is not learned from and has a null
+``held_out``.  Equal distances go to the language that
 sorts first, equal counts of n-grams to the smaller n-gram by code points.  Repeated rows
 are predicted alike.  Other columns are ignored.
 """
@@ -32,36 +34,47 @@ KEPT = 400
 #: Texts a language's profile is learned from, about; chosen by a hash of doc_id.
 TRAIN_TEXTS = 4000
 UNKNOWN = "und"
+#: What stands for anything between words; no letter.
+GAP = 1
 
 _state: dict[str, np.ndarray] = {}
 
 
 def _letter_table() -> np.ndarray:
-    """Code point -> itself for a letter, 0 for anything else; up to U+1FFFF."""
+    """Code point -> itself for a letter, GAP for anything else; up to U+1FFFF."""
     if "letters" not in _state:
-        _state["letters"] = np.array([c if chr(c).isalpha() else 0 for c in range(0x20000)], np.uint32)
+        _state["letters"] = np.array([c if chr(c).isalpha() else GAP for c in range(0x20000)], np.uint64)
     return _state["letters"]
 
 
-def n_grams(text: str | None, order: int = ORDER) -> np.ndarray:
-    """Keys of all n-grams of a text, 20 bits a character and the length above; empty for a text without letters."""
-    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def _letters(points: np.ndarray) -> np.ndarray:
     table = _letter_table()
-    letters = np.where(points < len(table), table[np.minimum(points, len(table) - 1)], 0)
-    if not letters.any():
+    out = table[np.minimum(points, len(table) - 1)]
+    for c in np.unique(points[points >= len(table)]).tolist():  # planes above: few texts have any
+        out[points == c] = c if chr(c).isalpha() else GAP
+    return out
+
+
+def n_grams(text: str | None, order: int = ORDER) -> np.ndarray:
+    """Keys of all n-grams of a text, 21 bits a character; empty for a text without letters.
+
+    A gap is GAP and no character is 0, so n-grams of different lengths have different keys.
+    """
+    letters = _letters(np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32))
+    if not (letters > GAP).any():
         return np.zeros(0, np.uint64)
-    padded = np.concatenate([[0], letters, [0]])
+    padded = np.concatenate([[GAP], letters, [GAP]]).astype(np.uint64)
     keep = np.ones(len(padded), bool)
-    keep[1:] = (padded[1:] > 0) | (padded[:-1] > 0)  # one gap stands for any run
-    line = padded[keep].astype(np.uint64)
-    parts = [line[line > 0]]
+    keep[1:] = (padded[1:] > GAP) | (padded[:-1] > GAP)  # one gap stands for any run
+    line = padded[keep]
+    parts = [line[line > GAP]]
     grams = line
     for n in range(2, order + 1):
-        grams = (grams[:-1] << np.uint64(20)) | line[n - 1 :]
+        grams = (grams[:-1] << np.uint64(21)) | line[n - 1 :]
         inner = np.ones(len(grams), bool)
         for k in range(1, n - 1):  # a gap inside would join two words
-            inner &= line[k : k + len(grams)] > 0
-        parts.append(grams[inner] | np.uint64(n) << np.uint64(60))
+            inner &= line[k : k + len(grams)] > GAP
+        parts.append(grams[inner])
     return np.concatenate(parts)
 
 
@@ -142,7 +155,8 @@ def _predict(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> Iterator[
 
 
 def tagged(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """``docs`` as it is, with lang_pred and score; it must not have columns of these names."""
+    """``docs`` as it is, with lang_pred and score; columns that had these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(lambda it: _predict(it, profiles), schema)
 

@@ -8,7 +8,8 @@ stepping all rows and trees down together in numpy.
 
 Null and empty texts have statistics of zero and get a score like any other.  Without
 labelled rows every score is 0.5.  Repeated rows are scored alike; a document with several
-labels gives a training row for each.  Other columns are ignored.
+labels gives a training row for each.  A row without a doc_id is scored and has a null
+``held_out``.  Other columns are ignored.
 """
 
 from __future__ import annotations
