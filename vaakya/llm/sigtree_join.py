@@ -129,6 +129,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = [_pack_counts(x) for x in counts.reshape(SLICES, -1)]
         columns = [pa.array(list(range(SLICES)), pa.int32()), pa.array([TaskContext.get().partitionId()] * SLICES, pa.int32())]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], ["slice", "part", "counts"])
+    del counts
+    tb.trim()
 
 
 def _describe(batches: Iterator[pa.RecordBatch], n: int, threshold: int, levels: np.ndarray, hot: int) -> Iterator[pa.RecordBatch]:
@@ -149,6 +151,8 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int, threshold: int, levels:
             rows.append((doc_id, len(items), node, pack_sorted(items), keys[~many], keys[many]))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in SETS.split(", ")])
+        del rows
+        tb.trim()
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
@@ -218,6 +222,8 @@ def _runs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Reco
         key, node, size = key[end:], node[end:], size[end:]
     if len(key) and (out := lists(key, node, size)) is not None:
         yield out
+    del key, node, size
+    tb.trim()
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +247,8 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
         left, right = batch.column("items_u"), batch.column("items_v")
         ok = [linked(x.as_buffer(), y.as_buffer(), threshold) for x, y in zip(left, right)]
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        del left, right
+        tb.trim()
 
 
 # --- the tree -------------------------------------------------------------------------
@@ -400,6 +408,8 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int, forest: bool) ->
         if len(u):
             u, v = np.unique(np.stack([u, v]), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        del members, flat, maps, longs, pairs
+        tb.trim()
 
 
 # --- the join -------------------------------------------------------------------------
