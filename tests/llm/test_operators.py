@@ -78,6 +78,59 @@ def test_ngrams_by_hand():
     assert len(langid_rank.n_grams("12 .,")) == len(langid_rank.n_grams(None)) == 0
 
 
+def slow_grams(text):
+    """n-grams as texts, a gap as a space."""
+    line = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} "))
+    if not line.strip():
+        return Counter()
+    grams = Counter(line[k : k + n] for n in (1, 2, 3) for k in range(len(line) - n + 1))
+    return Counter({g: n for g, n in grams.items() if g.strip() and " " not in g[1:-1]})
+
+
+def test_letters_of_every_plane():
+    for text in ("\U00020000\U00020001 \U0002a6d7", "\U00030000x \U0001d400\U0010ffff!", "naïve \U0001f600 ǅ"):
+        assert len(langid_rank.n_grams(text)) == sum(slow_grams(text).values()) > 0
+        assert len(set(langid_rank.n_grams(text).tolist())) == len(slow_grams(text))
+    assert langid_rank.n_grams("\U0001f600 \U0010ffff").size == 0
+
+
+def test_out_of_place_by_hand(documents):
+    """Profiles, distances and predictions against plain counting of n-grams as texts."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in documents.select("doc_id", "text", "lang").collect()]
+    rank = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], key(x[0])))][: langid_rank.KEPT]
+
+    def key(gram):
+        value = 0
+        for c in gram:
+            value = value << 21 | (langid_rank.GAP if c == " " else ord(c))
+        return value
+
+    totals = defaultdict(Counter)
+    for doc_id, text, lang in rows:
+        if lang is not None and zlib.crc32(str(doc_id).encode()) % 4 != 2:
+            totals[lang].update(slow_grams(text))
+    profiles = {lang: {g: k for k, g in enumerate(rank(c))} for lang, c in totals.items()}
+    got = {r["doc_id"]: r["lang_pred"] for r in langid_rank.classified(documents).collect()}
+    for doc_id, text, _ in rows:
+        own = rank(slow_grams(text))
+        cost = {lang: sum(abs(p[g] - k) if g in p else langid_rank.KEPT for k, g in enumerate(own)) for lang, p in profiles.items()}
+        assert got[doc_id] == (min(sorted(cost), key=cost.get) if own else "und")
+
+
+def test_forest_walk_by_hand(rng):
+    """Flat arrays against one step at a time."""
+    x = np.array([[rng.gauss(0, 1) for _ in range(4)] for _ in range(300)])
+    forest = quality_gbdt.fit(x, (x[:, 0] + x[:, 1] ** 2 > 0.7).astype(float))
+    for row, score in zip(x, forest.score(x)):
+        margin = forest.base
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if row[feature[at]] > threshold[at] else 1)
+            margin += leaf[at - len(feature)]
+        assert abs(1 / (1 + np.exp(-margin)) - score) < 1e-12
+
+
 def test_toxicity_held_out(spark):
     at = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{at}/labels.parquet")
@@ -125,6 +178,36 @@ def test_toxicity_of_phrases(rng):
     assert recall > 0.9 and false < 0.02
 
 
+def test_windows_by_hand(rng):
+    """Windows and their distances against one frame at a time over plain slices of words."""
+    vocab = ["".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(80)]
+    texts = [None, "", "!", "One", "É  two--three"] + [" ".join(rng.choices(vocab, k=rng.randint(1, 40))) for _ in range(30)]
+    words = [re.findall(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower().encode()) for t in texts]
+    pair = b" " + " ".join(vocab[:40]).encode() + b" ", b" " + " ".join(vocab[40:]).encode() + b" "
+    ruler, text = toxicity_zstd.Ruler(*pair), toxicity_zstd.read_words(texts)
+    assert np.diff(text.first).tolist() == list(map(len, words))
+
+    def distance(window, searches):
+        frame = toxicity_zstd.MARK + window + toxicity_zstd.MARK
+        plain, toxic = (toxicity_zstd.compressors(x, searches) for x in (pair[0], pair[0] + pair[1]))
+        return sum(len(a.compress(frame)) - len(b.compress(frame)) for a, b in zip(plain, toxic))
+
+    flat = [b" " + w + b" " for x in words for w in x]
+    for _ in range(2):  # measured, and then remembered
+        assert ruler.of_words(text).tolist() == [distance(w, toxicity_zstd.FINE) for w in flat]
+    for size, step in ((2, 2), (3, 1)):
+        begin, end, of = text.windows(size, step)
+        slid = [(k, b" " + b" ".join(x[a : a + size]) + b" ") for k, x in enumerate(words) for a in range(0, len(x), step)]
+        assert list(zip(of.tolist(), toxicity_zstd.spans(text.buffer, begin, end))) == slid
+        assert ruler.distance(text.buffer, begin, end, False).tolist() == [distance(w, toxicity_zstd.QUICK) for _, w in slid]
+    rows = toxicity_zstd.described(text, [ruler])[0]
+    gains = ruler.of_words(text)
+    for k, x in enumerate(words):
+        own = gains[text.first[k] : text.first[k + 1]]
+        for step, at in zip(toxicity_zstd.LADDER, range(len(toxicity_zstd.LADDER))):
+            assert rows[k, at] == np.log1p(sum(own >= step))
+
+
 def test_classifiers_at_the_edges(spark, edges, empty):
     labels = spark.createDataFrame([(3, 1, 0), (8, 0, 1), (9, None, None), (None, 1, 1)], LABELS)
     none = spark.createDataFrame([], LABELS)
