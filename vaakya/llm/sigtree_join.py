@@ -70,6 +70,8 @@ FOREST_ROUNDS = 1
 #: The table of counts has 2 ** SKETCH_BITS entries, is summed in SLICES parts, and keeps
 #: STEPS levels for each doubling of a count in one byte an entry.
 SKETCH_BITS, SLICES, STEPS = 23, 64, 5
+#: Text that is hashed at once, about: a worker needs some forty times as much.
+BLOCK_TEXT = 1 << 20
 #: Copies of a text are left out within a task up to so many texts; elsewhere later on.
 REMEMBERED = 1_000_000
 #: Nodes up to which their hashes are sent to every task instead of joined (8 bytes each).
@@ -120,7 +122,7 @@ SETS = "doc_id long, n_shingles long, node long, items binary, usual array<long>
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of a task by hash, in SLICES rows."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for batch in tb.blocks(batches):
+    for batch in tb.blocks(batches, size=BLOCK_TEXT):
         raw, offs = tb.buffers(batch.column("text"))
         raw = tb.LOWER[raw]
         starts, ends, _ = tb.words(raw, offs)
@@ -136,7 +138,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _describe(batches: Iterator[pa.RecordBatch], n: int, threshold: int, levels: np.ndarray, hot: int) -> Iterator[pa.RecordBatch]:
     """A row a document, with the set and its first shingles where the task has not met the set before."""
     seen: set[int] = set()
-    for batch in tb.blocks(batches):
+    for batch in tb.blocks(batches, size=BLOCK_TEXT):
         rows: list[tuple] = []
         for doc_id, (items, level) in zip(batch.column("doc_id").to_pylist(), text_sets(batch.column("text"), n, levels)):
             node = node_of(items) if len(items) else None

@@ -67,15 +67,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about BLOCK_BYTES of text."""
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offs = buffers(batch.column(column))
         lo = 0
         while lo < batch.num_rows:
-            hi = int(np.searchsorted(offs, offs[lo] + BLOCK_BYTES, "right")) - 1
+            hi = int(np.searchsorted(offs, offs[lo] + size, "right")) - 1
             hi = min(max(hi, lo + 1), batch.num_rows)
             yield batch.slice(lo, hi - lo)
             lo = hi
