@@ -3,9 +3,9 @@
 A stage takes the documents its predecessor kept, as rows with the columns of ``documents``,
 and returns the same columns; the last one returns the packing plan.  Stages keep null and
 empty texts apart from what their own decision says of them: language identification rejects
-a text without a letter (null and empty ones too).  A row without a doc_id passes language
-identification and is left out by exact dedup, which tells rows by their ids; rows that repeat
-a doc_id stay or go together.
+a text without a letter (null and empty ones too).  Rows without a doc_id are documents like
+others, each of its own, and one stays where its group has no row with a doc_id; rows that
+repeat a doc_id stay or go together.
 """
 
 from __future__ import annotations
@@ -22,9 +22,22 @@ from vaakya.llm.vocabularies import vocabulary
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among ``ids``."""
-    return docs.select(*COLUMNS).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+def _named(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` and ``nameless``: rows without a doc_id get numbers from the largest one down."""
+    rows = docs.select(*COLUMNS)
+    lost = rows.where("doc_id is null")
+    found = rows.where("doc_id is not null").withColumn("nameless", F.lit(False))
+    if lost.isEmpty():
+        return found
+    # written, so that a number is the same whenever it is read
+    numbered = lost.withColumn("doc_id", F.lit((1 << 63) - 1) - F.monotonically_increasing_id())
+    return found.union(materialise(numbered.withColumn("nameless", F.lit(True)), "nameless"))
+
+
+def _kept(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of :func:`_named` whose doc_id is among ``ids``, without the numbers it gave."""
+    kept = rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return kept.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +48,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return _kept(docs, exact_mph.exact_groups(docs).where("kept"))
+    rows = _named(docs)
+    return _kept(rows, exact_mph.exact_groups(rows).where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group that links connect.
 
-    Shingles of three words and a similarity of 0.9, as the operator's own contract has them.
+    Shingles of five words and a similarity of 0.8.
     """
-    groups = sigtree_join.shingle_components(docs)
-    return _kept(docs, groups.where("doc_id = component_id"))
+    rows = _named(docs)
+    return _kept(rows, sigtree_join.shingle_components(rows, n=5, threshold=80).where("doc_id = component_id"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
