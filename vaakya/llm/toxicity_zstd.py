@@ -4,7 +4,7 @@ One dictionary is trained on ordinary text, the other on toxic text.  A window i
 PHRASE words that follow each other; windows slid over a whole text are compressed under both,
 and a window's distance is by how many bytes the toxic dictionary makes it shorter.  Windows of
 several words cost far more than single ones, which are remembered: documents are measured by
-them where that at least halves the loss.  A document is
+them where that brings the loss to a quarter of what it is otherwise.  A document is
 described by how many of its windows pass each step of a ladder of distances, and a logistic
 model, the calibrated threshold, turns that into a score.
 
@@ -58,7 +58,7 @@ CUT = 0.5
 KEPT_PAIRS = 2
 #: Share of ordinary training texts that may be called toxic, and of the loss without windows of
 #: several words that the loss with them must be under to be worth their time.
-FALSE, WORTH = 0.01, 0.5
+FALSE, WORTH = 0.01, 0.25
 #: Words a worker remembers the distances of before it starts anew, and how many new ones are
 #: held before they are sorted in.
 KNOWN, FRESH = 2_000_000, 200_000
