@@ -30,7 +30,7 @@ def plain_stages(spark, rows):
         first.setdefault(norm(t), i)
     kept = [(i, t) for i, t in kept if first[norm(t)] == i]
     yield kept
-    heads = {i for i, _, head in links_by_hand(kept) if i == head}
+    heads = {i for i, _, head in links_by_hand(kept, 5, 80) if i == head}
     kept = [(i, t) for i, t in kept if i in heads]
     yield kept
     spans = {r["doc_id"]: r["spans"] for r in pii_bootstrap.report(spark.createDataFrame(kept, "doc_id long, text string")).collect()}
@@ -73,6 +73,17 @@ def test_stages_against_plain(spark, documents):
     assert Counter(tuple(r)[:5] for r in got) == pieces
 
 
+def test_rows_without_ids_stay(spark):
+    """One row of each group stays, also where no row of it has a doc_id; ids win over none."""
+    one, two = (" ".join(f"{w}{k}" for k in range(40)) for w in ("one", "two"))
+    rows = [(None, one), (None, one), (3, two), (None, two), (None, "a text of its own"), (None, f"{one} more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    after = Counter((r["doc_id"], r["text"]) for r in pipeline.exact(spark, docs, SMALL).collect())
+    assert after == Counter([(None, one), (3, two), (None, "a text of its own"), (None, f"{one} more")])
+    left = Counter(r["text"] for r in pipeline.near(spark, pipeline.exact(spark, docs, SMALL), SMALL).collect())
+    assert left[two] == left["a text of its own"] == 1 and left[one] + left[f"{one} more"] == 1
+
+
 def test_run_and_stages_on_nothing(spark):
     assert pipeline.run(spark, SMALL).count() > 0
     docs = spark.createDataFrame([], SCHEMA)
