@@ -4,7 +4,7 @@ One dictionary is trained on ordinary text, the other on toxic text.  A window i
 PHRASE words that follow each other; windows slid over a whole text are compressed under both,
 and a window's distance is by how many bytes the toxic dictionary makes it shorter.  Windows of
 several words cost far more than single ones, which are remembered: documents are measured by
-them where that brings the loss to a quarter of what it is otherwise.  A document is
+them where single words tell toxic training texts badly.  A document is
 described by how many of its windows pass each step of a ladder of distances, and a logistic
 model, the calibrated threshold, turns that into a score.
 
@@ -56,9 +56,9 @@ SHARE = 0.99
 CUT = 0.5
 #: Folds whose dictionaries measure a document, those with the least loss.
 KEPT_PAIRS = 2
-#: Share of ordinary training texts that may be called toxic, and of the loss without windows of
-#: several words that the loss with them must be under to be worth their time.
-FALSE, WORTH = 0.01, 0.25
+#: Share of ordinary training texts that may be called toxic, and the loss of single words from
+#: which windows of several words, five times as dear, are compressed as well.
+FALSE, POOR = 0.01, 0.3
 #: Words a worker remembers the distances of before it starts anew, and how many new ones are
 #: held before they are sorted in.
 KNOWN, FRESH = 2_000_000, 200_000
@@ -328,7 +328,7 @@ def calibrated(pairs: list[tuple[bytes, bytes]], plain: list[Words], bad: list[W
         model.loss = float(losses.sum() / weight.sum())
         each = np.bincount(whose, losses, len(pairs)) / np.maximum(np.bincount(whose, weight, len(pairs)), 1e-9)
         model.pairs = [pairs[f] for f in np.argsort(each, kind="stable")[:KEPT_PAIRS]]
-        if best is None or model.loss < WORTH * best.loss:
+        if best is None or best.loss >= POOR and model.loss < best.loss:
             model.threshold = max(0.0, float(np.quantile(np.log(p / (1 - p))[y == 0], 1 - FALSE))) if (y == 0).any() else 0.0
             best = model
     return best
