@@ -453,6 +453,33 @@ def test_pii_patterns_among_copies(spark):
     assert got[50] == "id:12:20" and got[51] == "" and got[100] == ""
 
 
+def test_pii_assigned_keys(spark, rng):
+    """Keys that several texts assign to one name are found, and so are other tokens under that name."""
+    key = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    rows = [(k, f'start token = "{key(39)}7" end') for k in range(6)]
+    rows += [(10, 'a token = "short77abcde" b'), (11, f"a digest {key(39)}7 b"), (12, "the ratio = 0.2345678 b"), (13, f'once = "{key(39)}7"')]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii_bootstrap.report(docs).collect()}
+    assert all(got[k] == "id:15:55" for k in range(6))
+    assert got[10] == "id:11:23" and got[11] == got[12] == got[13] == ""
+
+
+def test_pii_scores_by_hand(spark, rng):
+    """Pattern confidences against the same rounds over plain rows."""
+    edges = [(f"p{rng.randint(0, 9)}", rng.randint(0, 15), rng.randint(1, 4), 0) for _ in range(60)]
+    edges = list({e[:2]: e for e in edges}.values()) + [(f"p{k}", 100 + k + j, rng.randint(1, 3), 1) for k in range(0, 10, 2) for j in range(k)]
+    frame = spark.createDataFrame(edges, "pattern string, instance long, count long, seed int")
+    score = {e[:2]: float(e[3]) for e in edges}
+    for k in range(pii_bootstrap.ROUNDS):
+        confidence = {p: sum(score[e[:2]] * e[2] for e in edges if e[0] == p) / sum(e[2] for e in edges if e[0] == p) for p in {e[0] for e in edges}}
+        for p, i, _, seed in edges:
+            same = [e for e in edges if e[1] == i and not e[3]]
+            score[p, i] = 1.0 if seed else sum(confidence[e[0]] * e[2] for e in same) / sum(e[2] for e in same)
+    got = {r["pattern"]: (r["confidence"], r["seeds"]) for r in pii_bootstrap.score_patterns(frame).collect()}
+    for p, value in confidence.items():
+        assert abs(got[p][0] - value) < 1e-9 and got[p][1] == sum(e[3] for e in edges if e[0] == p)
+
+
 def test_pii_long_runs(spark, empty):
     texts = ["a" * 60_000, "1" * 60_000, "a." * 30_000 + "@", "1." * 30_000, "a@b" + ".c" * 30_000, "1 " * 20_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

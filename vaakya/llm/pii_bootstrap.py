@@ -7,7 +7,10 @@ instances form a bipartite graph that is scored in rounds: a pattern is as good
 instances it goes with, an instance as good as its patterns.  A pattern must also be lexical:
 of all places where its word stands, whatever follows, a share of LEXICAL goes with seeds, so
 common words are never patterns.  Two words before a seed make a pattern as well; its share is
-one of different texts and not of places, so copies of a text can't switch it off.  Candidates under a pattern of high confidence, which at
+one of different texts and not of places, so copies of a text can't switch it off.  A name with
+a sign of assignment after it (``name = "``, ``name: ``) is a third sort of pattern.  Its seeds
+are candidates that look like keys, long runs of hexadecimal digits, besides those above; it is
+judged by different texts as well.  Candidates under a pattern of high confidence, which at
 least MIN_SEEDS different seeds support, become spans of kind ``id``.
 
 Matches are leftmost and do not overlap.  The patterns below state the same matches as the
@@ -37,6 +40,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: An identifier by its looks: letters, a digit, and at least five more.
 TOKEN = r"(?:\G|(?<![A-Za-z0-9]))[A-Za-z]*+[0-9][A-Za-z0-9_-]{5,}+"
 
+#: A key by its looks: a seed where it is assigned to a name.
+KEY = r"^[0-9A-Fa-f]{32,}$"
+#: A name and a sign of assignment.
+ASSIGNED = r"([\p{L}_]+)[\x20]{0,2}[=:][\x20]{0,2}[\"']?"
+
 ROUNDS = 3
 MIN_SEEDS = 3
 CONFIDENCE = 0.8
@@ -135,13 +143,23 @@ def pair_of(x: Column) -> Column:
     return F.when(part(1) != "", F.lower(F.concat(part(1), F.lit(" "), part(2)))).otherwise(F.lit(""))
 
 
+def assigned_of(x: Column) -> Column:
+    """The name a span is assigned to, in lower case and with ``=`` after it; empty where there is none."""
+    name = F.regexp_extract(x["left"], ASSIGNED + "$", 1)
+    return F.when(name != "", F.lower(F.concat(name, F.lit("=")))).otherwise(F.lit(""))
+
+
+PATTERNS = (pattern_of, pair_of, assigned_of)
+
+
 def _edges(found: DataFrame) -> DataFrame:
     """pattern, instance, n, seed: occurrences counted, one row a pair."""
     edge = lambda column, seed, of: F.transform(
         column,
-        lambda s: F.struct(of(s).alias("pattern"), F.xxhash64(s["found"]).alias("instance"), F.lit(seed).alias("seed")),
+        lambda s: F.struct(of(s).alias("pattern"), F.xxhash64(s["found"]).alias("instance"), seed(s).cast("int").alias("seed")),
     )
-    both = F.concat(*[edge(F.col(c), seed, of) for c, seed in (("base", 1), ("others", 0)) for of in (pattern_of, pair_of)])
+    is_seed = {"base": lambda of: lambda s: F.lit(1), "others": lambda of: lambda s: s["found"].rlike(KEY) if of is assigned_of else F.lit(0)}
+    both = F.concat(*[edge(F.col(c), seed(of), of) for c, seed in is_seed.items() for of in PATTERNS])
     return found.select(F.inline(both)).where("pattern != ''").groupBy("pattern", "instance", "seed").count()
 
 
@@ -180,8 +198,17 @@ def lexical(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return patterns.join(places, "pattern").where(F.col("seed_places") >= LEXICAL * F.col("places"))
 
 
+def _of_texts(every: DataFrame, seeds: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Patterns that stand before seeds in a share of LEXICAL of all different texts they stand in."""
+    count = lambda rows, name: (
+        rows.join(patterns.select("pattern"), "pattern", "left_semi").distinct().groupBy("pattern").agg(F.count("*").alias(name))
+    )
+    both = count(every, "texts").join(count(seeds, "seed_texts"), "pattern")
+    return patterns.join(both, "pattern").where(F.col("seed_texts") >= LEXICAL * F.col("texts"))
+
+
 def lexical_pairs(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Patterns of two words that stand before seeds in a share of LEXICAL of all different texts they stand in."""
+    """Patterns of two words that pass :func:`_of_texts`."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
     two = lambda w: F.zip_with(
@@ -189,11 +216,26 @@ def lexical_pairs(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFr
     )
     every = docs.select(F.xxhash64(text).alias("_text"), F.explode(F.array_distinct(let(words, two))).alias("pattern"))
     seeds = found.select("_text", F.explode(F.array_distinct(F.transform("base", pair_of))).alias("pattern"))
-    count = lambda rows, name: (
-        rows.join(pairs.select("pattern"), "pattern", "left_semi").distinct().groupBy("pattern").agg(F.count("*").alias(name))
+    return _of_texts(every, seeds, pairs)
+
+
+def lexical_names(docs: DataFrame, found: DataFrame, names: DataFrame) -> DataFrame:
+    """Patterns of a name and a sign of assignment that pass :func:`_of_texts`."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    held = F.regexp_extract_all(F.lower(text), F.lit(ASSIGNED), F.lit(1))
+    every = docs.where(text.rlike("[=:]")).select(
+        F.xxhash64(text).alias("_text"), F.explode(F.array_distinct(F.transform(held, lambda x: F.concat(x, F.lit("="))))).alias("pattern")
+    )
+    keys = F.concat(F.col("base"), F.transform(F.filter("others", lambda s: s["found"].rlike(KEY)), lambda s: _as_base(s)))
+    seeds = found.select("_text", F.explode(F.array_distinct(F.transform(keys, assigned_of))).alias("pattern"))
+    return _of_texts(every, seeds, names)
+
+
+def _as_base(s: Column) -> Column:
+    """A candidate in the form of ``base``."""
+    return F.struct(
+        s["start"], F.lit(len(KINDS)).alias("rank"), s["end"], F.lit("id").alias("kind"), s["found"], s["left"], F.lit(True).alias("valid")
     )
-    both = count(every, "texts").join(count(seeds, "seed_texts"), "pattern")
-    return pairs.join(both, "pattern").where(F.col("seed_texts") >= LEXICAL * F.col("texts"))
 
 
 def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -207,10 +249,19 @@ def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     edges = materialise(_edges(found), "edges")
     sure = score_patterns(edges).where((F.col("confidence") >= CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS))
     sure = materialise(sure, "patterns")
-    single, pairs = sure.where("not contains(pattern, ' ')"), sure.where("contains(pattern, ' ')")
-    good = lexical(docs, single).select("pattern").union(lexical_pairs(docs, found, pairs).select("pattern"))
+    names = sure.where("endswith(pattern, '=')")
+    pairs = sure.where("contains(pattern, ' ') and not endswith(pattern, '=')")
+    single = sure.where("not contains(pattern, ' ') and not endswith(pattern, '=')")
+    good = docs.sparkSession.createDataFrame([], "pattern string")
+    # texts are looked at again only for patterns there are
+    if not single.isEmpty():
+        good = good.union(lexical(docs, single).select("pattern"))
+    if not pairs.isEmpty():
+        good = good.union(lexical_pairs(docs, found, pairs).select("pattern"))
+    if not names.isEmpty():
+        good = good.union(lexical_names(docs, found, names).select("pattern"))
     others = found.where(F.size("others") > 0).select("_row", F.explode("others").alias("s"))
-    others = others.select("_row", "s", F.explode(F.array(pattern_of(F.col("s")), pair_of(F.col("s")))).alias("pattern"))
+    others = others.select("_row", "s", F.explode(F.array(*[of(F.col("s")) for of in PATTERNS])).alias("pattern"))
     extra = (
         others.join(good, "pattern")
         .groupBy("_row")
