@@ -2,8 +2,8 @@
 
 Long plans are cut by writing a Parquet table into the folder the cluster shares
 (``spark.checkpoint.dir``) and reading it back, so a lost executor costs a re-read and
-not a recomputation.  Only a session without that setting (tests, notebooks) gets a
-temporary folder of its own, which is right for a single machine alone.
+not a recomputation.  Only a session of a single machine without that setting (tests,
+notebooks) gets a temporary folder of its own.
 """
 
 from __future__ import annotations
@@ -19,10 +19,20 @@ _made: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the session; set once for sessions that name none."""
+    """The shared folder of the session: its setting, or the context's own checkpoint folder.
+
+    A session of a single machine that names none gets a temporary one; on a cluster that is an
+    error, since each executor would write to a disk of its own.
+    """
     root = spark.conf.get(_KEY, None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="vaakya-")
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            root = held.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            root = "file://" + tempfile.mkdtemp(prefix="vaakya-")
+        else:
+            raise RuntimeError(f"{_KEY} must name a folder that the driver and all executors share")
         spark.conf.set(_KEY, root)
     return root.rstrip("/")
 
