@@ -271,6 +271,9 @@ def test_flows_write_results(spark, tmp_path):
     (tmp_path / "u.json").write_text(json.dumps([{"reference": "a b", "models": {"m1": "a b", "m2": "a"}}]))
     (row,) = io.read_utterances(spark, str(tmp_path / "u.json")).collect()
     assert row["reference"] == "a b" and [m["hyp"] for m in row["models"]] == ["a b", "a"]
+    (tmp_path / "o.json").write_text(json.dumps({"reference": "a", "models": {"zeta": "x", "alpha": "y", "mid": "z"}}))
+    (row,) = io.read_utterances(spark, str(tmp_path / "o.json")).collect()
+    assert [(m["model_idx"], m["name"], m["hyp"]) for m in row["models"]] == [(0, "zeta", "x"), (1, "alpha", "y"), (2, "mid", "z")]
 
 
 def test_fetch_and_missing(spark):

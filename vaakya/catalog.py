@@ -315,6 +315,15 @@ def m4_health_lines(spark, sf_dir):
     return transcripts.bucket_lines(segments.duration_distribution(_judged(spark, sf_dir)[0]))
 
 
+@query(
+    f"""WITH {_SEGMENTS_SQL}, r AS (SELECT reason_code, count(*) AS n FROM judged WHERE reason_code <> 'OK' GROUP BY 1)
+    SELECT (row_number() OVER (ORDER BY n DESC, reason_code))::INTEGER AS rank, reason_code,
+    lpad(n::VARCHAR, greatest(5, length(n::VARCHAR))::INTEGER, ' ') || '  ' || reason_code AS line FROM r"""
+)
+def m4_reason_lines(spark, sf_dir):
+    return transcripts.reason_lines(_judged(spark, sf_dir)[1])
+
+
 @query(
     "SELECT CASE WHEN k = 1 THEN 'train' ELSE 'validation' END AS fold, CASE WHEN k = 1 THEN (n * 9) // 10 ELSE n - (n * 9) // 10 END AS n "
     "FROM (SELECT count(*) AS n FROM conversations), range(1, 3) AS t(k)"
@@ -764,6 +773,27 @@ def w9_correction_analysis(spark, sf_dir):
     return lattice.correction_analysis(lattice.corrections(lattice.voted(_lines(spark, sf_dir))))
 
 
+@query(
+    f"""WITH RECURSIVE {_VOTES_SQL}, firsts AS (SELECT * FROM fixes ORDER BY utt_id, position LIMIT 10)
+    SELECT (SELECT count(*) FROM fixes) AS total_corrections, CASE WHEN (SELECT count(*) FROM fixes) = 0 THEN '0%' END AS correction_rate,
+    (SELECT string_agg(agreement || ': ' || n, ', ' ORDER BY agreement) FROM (SELECT agreement, count(*) AS n FROM fixes GROUP BY 1)) AS levels,
+    (SELECT string_agg(utt_id || ':' || position || ' ' || original_ref || ' > ' || corrected_to, ', ' ORDER BY utt_id, position) FROM firsts) AS examples"""
+)
+def w9_correction_summary(spark, sf_dir):
+    row = lattice.correction_summary(lattice.corrections(lattice.voted(_lines(spark, sf_dir))))
+    levels = F.transform(F.map_entries("agreement_distribution"), lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string")))
+    example = lambda x: F.concat(x["utt_id"].cast("string"), F.lit(":"), x["position"].cast("string"), F.lit(" "), x["original_ref"], F.lit(" > "), x["corrected_to"])
+    return row.select(
+        "total_corrections", "correction_rate", F.array_join(levels, ", ").alias("levels"), F.array_join(F.transform("examples", example), ", ").alias("examples")
+    )
+
+
+@query("SELECT 0::BIGINT AS total_corrections, '0%' AS correction_rate")
+def w9_no_corrections(spark, sf_dir):
+    none = lattice.corrections(lattice.voted(_lines(spark, sf_dir))).where("false")
+    return lattice.correction_summary(none).select(F.col("total_corrections").cast("long").alias("total_corrections"), "correction_rate")
+
+
 _LATTICE_SQL = (
     _VOTES_SQL
     + """,

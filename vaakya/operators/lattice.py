@@ -166,6 +166,22 @@ def correction_analysis(found: DataFrame) -> DataFrame:
     return found.groupBy("agreement").agg(F.count("*").alias("n"))
 
 
+def correction_summary(found: DataFrame, examples: int = 10) -> DataFrame:
+    """One row: how many corrections, by agreement, and the first ones; ``correction_rate`` is ``0%`` without any."""
+    counts = correction_analysis(found)
+    # as many levels as systems, and a few examples
+    levels = counts.agg(F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("agreement", "n")))).alias("agreement_distribution"))
+    first = found.orderBy("utt_id", "position").limit(examples)
+    shown = first.agg(F.array_sort(F.collect_list(F.struct("utt_id", "position", "original_ref", "corrected_to", "agreement", "reason"))).alias("examples"))
+    total = F.coalesce("n", F.lit(0))
+    return levels.join(F.broadcast(shown), F.lit(True)).select(
+        total.alias("total_corrections"),
+        F.when(total == 0, F.lit("0%")).alias("correction_rate"),
+        "agreement_distribution",
+        "examples",
+    )
+
+
 def scores(lines: DataFrame) -> DataFrame:
     """One row a system and utterance: error rates against the reference and the corrected one.
 

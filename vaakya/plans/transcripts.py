@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vaakya.functions import fixed
 from vaakya.functions.text import fixed_point, percent
@@ -98,6 +99,14 @@ def bucket_lines(distribution: DataFrame) -> DataFrame:
     return distribution.select("bucket", line.alias("line")).orderBy("bucket")
 
 
+def reason_lines(rejected: DataFrame) -> DataFrame:
+    """Rejection reasons by falling count, of equal counts by name."""
+    found = segments.rejection_reasons(rejected)
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), "reason_code"))  # as many rows as checks
+    line = F.concat(_right(F.col("n").cast("string"), 5), F.lit("  "), F.col("reason_code"))
+    return found.select(rank.alias("rank"), "reason_code", line.alias("line"))
+
+
 def lattice_lines(positions: DataFrame) -> DataFrame:
     """A lattice's positions as lines, reference positions and the insertions before them."""
     words = F.concat_ws(" | ", "model_words")

@@ -143,15 +143,17 @@ def read_lexicon(spark: SparkSession, path: str | None = None) -> DataFrame:
 def read_utterances(spark: SparkSession, path: str) -> DataFrame:
     """``utt_id, reference, models`` of a JSON object or a list of objects {reference, models: {name: text}}.
 
-    Systems stand in the order of their names, since a parsed JSON object has no other.
+    Systems stand in the order of the file, which decides between words with equal votes.
     """
-    value = F.try_parse_json("value")
-    one = F.try_variant_get(value, "$", "array<variant>")
-    items = F.coalesce(one, F.array(value))
+    one = "struct<reference:string,models:map<string,string>>"
+    text = F.ltrim("value")
+    # a map keeps the order of its entries; an object is a list of one
+    items = F.when(text.startswith("["), F.from_json(text, f"array<{one}>")).otherwise(F.array(F.from_json(text, one)))
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(items).alias("utt_id", "v"))
-    models = F.map_entries(F.try_variant_get("v", "$.models", "map<string,string>"))
-    listed = F.transform(models, lambda m, i: F.struct(i.alias("model_idx"), m["key"].alias("name"), m["value"].alias("hyp")))
-    return rows.select("utt_id", F.try_variant_get("v", "$.reference", "string").alias("reference"), listed.alias("models"))
+    listed = F.transform(
+        F.map_entries("v.models"), lambda m, i: F.struct(i.alias("model_idx"), m["key"].alias("name"), m["value"].alias("hyp"))
+    )
+    return rows.select("utt_id", "v.reference", listed.alias("models"))
 
 
 def write_detections(found: DataFrame, path: str) -> bool:
