@@ -346,3 +346,11 @@ def test_segments_of_unknown_recordings_are_rejected(spark):
     valid, rejected = segments.manifest(parts, known)
     assert [r["recording_id"] for r in valid.collect()] == ["a"]
     assert [(r["recording_id"], r["reason_code"]) for r in rejected.collect()] == [("b", segments.UNKNOWN_AUDIO)]
+
+
+def test_missing_ids_are_numbered(spark):
+    rows = [(None, 0, "um"), ("r", 1, "fine words here"), (None, None, "uh")]
+    parts = spark.createDataFrame(rows, "recording_id string, segment_index int, text string").coalesce(1)
+    parts = parts.withColumns({"start": F.lit(0.0), "end": F.lit(1.0)})
+    got = disfluency.detect(parts).where("disfluency_type = 'filler'").collect()
+    assert [(r["recording_id"], r["segment_id"]) for r in got] == [("unknown_0", "unknown_0_seg0"), ("unknown_2", "unknown_2_seg2")]

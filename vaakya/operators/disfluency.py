@@ -133,10 +133,14 @@ def detections(text: Column) -> Column:
 def detect(segments: DataFrame) -> DataFrame:
     """One row a detection of ``segments(recording_id, segment_index, start, end, text, ...)``.
 
-    Missing ids take the segment's own ``row`` number where there is one: ``unknown_{row}``.
+    Missing ids take the segment's own ``row`` number where there is one, ``unknown_{row}``, and
+    else a number of its place: those of one partition follow each other, and none repeats.  On a
+    stream, which has no places, it is 0.
     """
     have = segments.columns
-    row = F.col("row") if "row" in have else F.lit(0)
+    if "row" not in have:
+        segments = segments.withColumn("row", F.lit(0) if segments.isStreaming else F.monotonically_increasing_id())
+    row = F.col("row")
     recording = F.coalesce(F.col("recording_id").cast("string"), F.concat(F.lit("unknown_"), row.cast("string")))
     index = F.coalesce(F.col("segment_index"), row).cast("string")
     audio = F.col("audio_clip_path") if "audio_clip_path" in have else F.lit("")
