@@ -1,12 +1,10 @@
 """Toxicity by compression distance between two trained zstandard dictionaries.
 
-One dictionary is trained on ordinary text, the other on toxic text.  A window is one word or
-PHRASE words that follow each other; windows slid over a whole text are compressed under both,
-and a window's distance is by how many bytes the toxic dictionary makes it shorter.  Windows of
-several words cost far more than single ones, which are remembered: documents are measured by
-them where single words tell toxic training texts badly.  A document is
-described by how many of its windows pass each step of a ladder of distances, and a logistic
-model, the calibrated threshold, turns that into a score.
+One dictionary is trained on ordinary text, the other on toxic text.  Windows of one word and of
+several, slid over a whole text, are compressed under both, and a window's distance is by how
+many bytes the toxic dictionary makes it shorter.  A document is described by how many of its
+windows pass each step of a ladder of distances, and a logistic model, the calibrated threshold,
+turns that into a score.
 
 Most of a toxic text is ordinary, so what the toxic dictionary is trained on is found by
 compression too.  Training texts are dealt to folds.  A dictionary trained on the toxic texts
@@ -43,21 +41,21 @@ from vaakya.llm.worker import once
 
 #: Labelled texts a model is fitted on at most (those with the smallest hash of doc_id), and
 #: bytes of all their texts at most.
-TRAIN_ROWS, TRAIN_BYTES = 6_000, 32 << 20
+TRAIN_ROWS, TRAIN_BYTES = 5_000, 32 << 20
 #: Bytes of the dictionaries, and of the segments each is trained to hold.
 ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_SEGMENT, TOXIC_SEGMENT = 256 << 10, 32 << 10, 32, 24
 #: Ordinary samples a dictionary is trained on at most, and words of a sample.
 ORDINARY_SAMPLES, SAMPLE_WORDS = 60_000, 8
 FOLDS, ROUNDS, AGREE = 4, 2, (1, 2)
 #: Ordinary texts that are measured in training, for each toxic one; they count for all.
-MINED = 4
+MINED = 3
 #: Share of the ordinary windows that toxic ones must be shortened more than.
 SHARE = 0.99
 CUT = 0.5
 #: Folds whose dictionaries measure a document, those with the least loss.
 KEPT_PAIRS = 2
-#: Share of ordinary training texts that may be called toxic, and the loss of single words from
-#: which windows of several words, five times as dear, are compressed as well.
+#: Share of ordinary training texts that may be called toxic, and the loss from which the second
+#: sort of longer windows is tried.
 FALSE, POOR = 0.01, 0.3
 #: Words a worker remembers the distances of before it starts anew, and how many new ones are
 #: held before they are sorted in.
@@ -71,11 +69,9 @@ LADDER = np.arange(1, 25)
 #: Searches (strategy, least match) whose frames' lengths are added: one parse finds what another
 #: one leaves, and their sum is finer than whole bytes of one frame.
 FINE = ((zstandard.STRATEGY_BTOPT, 3), (zstandard.STRATEGY_BTLAZY2, 4))
-#: Words of the longer windows, and of how many one begins.
-PHRASE, STEP = 3, 1
-QUICK = ((zstandard.STRATEGY_BTLAZY2, 4),)
-#: Words of the windows that training looks for toxic text in, and how they are compressed.
-MINED_WORDS = ((1, FINE), (PHRASE, QUICK))
+#: Sorts of longer windows: their words, of how many words one begins, and their searches.  The
+#: second sort tells phrases of ordinary words, and is five times as dear.
+SORTS = ((2, 2, ((zstandard.STRATEGY_DFAST, 4),)), (3, 1, ((zstandard.STRATEGY_BTLAZY2, 4),)))
 
 # a word is a run of ASCII letters and of bytes of other characters
 _SOLID = np.ones(256, bool)
@@ -195,9 +191,9 @@ def measured(bys: list[list[zstandard.ZstdCompressor]], buffer: np.ndarray, begi
 class Ruler:
     """Distances of windows under two dictionaries; those of single words are remembered."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes) -> None:
+    def __init__(self, ordinary: bytes, toxic: bytes, sort: int = 0) -> None:
         # under the toxic dictionary the ordinary one is there too: lengths differ by what is toxic alone
-        self.fine, self.quick = ((compressors(ordinary, x), compressors(ordinary + toxic, x)) for x in (FINE, QUICK))
+        self.fine, self.quick = ((compressors(ordinary, x), compressors(ordinary + toxic, x)) for x in (FINE, SORTS[sort][2]))
         self.known: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int16)) for _ in range(2)]
 
     def distance(self, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, fine: bool = True) -> np.ndarray:
@@ -241,10 +237,10 @@ def passed(text: Words, gains: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.concatenate([np.log1p(count), 30 * count / size, np.sqrt(count / size)], 1)
 
 
-def described(text: Words, rulers: list[Ruler], phrases: bool = True) -> np.ndarray:
+def described(text: Words, rulers: list[Ruler], sort: int = 0) -> np.ndarray:
     """[ruler, text, feature]: words by each ruler, and windows of several words, dealt to the rulers in turn."""
     n = len(text.first) - 1
-    begin, end, of = text.windows(PHRASE, STEP) if phrases else (np.zeros(0, np.int64),) * 3
+    begin, end, of = text.windows(*SORTS[sort][:2])
     gains = np.zeros(len(of), np.int64)
     for k, ruler in enumerate(rulers):
         part = slice(k, None, len(rulers))
@@ -259,7 +255,7 @@ class Model:
     """Pairs of dictionaries, ordinary and toxic, and the calibration; plain data, so it travels with a task."""
 
     pairs: list[tuple[bytes, bytes]]
-    phrases: bool
+    sort: int
     shift: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -287,10 +283,10 @@ def _samples(text: Words) -> list[bytes]:
     return spans(text.buffer, *text.windows(SAMPLE_WORDS, SAMPLE_WORDS)[:2])
 
 
-def _telling(text: Words, ordinary: bytes, toxic: list[bytes], agree: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _telling(text: Words, ordinary: bytes, toxic: list[bytes], agree: int, sort: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(begin, end, gain) of the windows of each sort, each once a text; the gain is by the ``agree``-th shortest frame."""
     parts = []
-    for words, searches in MINED_WORDS:
+    for words, searches in ((1, FINE), (SORTS[sort][0], SORTS[sort][2])):
         begin, end, of = text.windows(words, 1)
         keys = tb.word_hashes(text.buffer, begin, end)
         _, first, which = np.unique(keys, return_index=True, return_inverse=True)
@@ -307,37 +303,38 @@ def _some(samples: list[bytes], most: int) -> list[bytes]:
     return [samples[k] for k in np.random.default_rng(0).permutation(len(samples))[:most]]
 
 
-def calibrated(pairs: list[tuple[bytes, bytes]], plain: list[Words], bad: list[Words], share: float) -> Model:
+def calibrated(pairs: list[tuple[bytes, bytes]], plain: list[Words], bad: list[Words], share: float, sort: int) -> Model:
     """The model of pairs of dictionaries, each measured on its fold's texts; an ordinary one counts for ``share``."""
     x, y = [], []
     for pair, *kinds in zip(pairs, plain, bad):
-        rulers = [Ruler(*pair)]
+        rulers = [Ruler(*pair, sort)]
         for label, text in enumerate(kinds):
-            x.append(described(text, rulers)[0])
+            x.append(described(text, rulers, sort)[0])
             y.append(np.full(len(x[-1]), float(label)))
     whose = np.repeat(np.arange(len(pairs)), [sum(map(len, x[2 * f : 2 * f + 2])) for f in range(len(pairs))])
     x, y = np.concatenate(x), np.concatenate(y)
-    weight, best = np.where(y == 1, 1.0, share), None
-    for phrases in (False, True):
-        rows = x.copy()
-        if not phrases:
-            rows[:, 3 * len(LADDER) : 6 * len(LADDER)] = 0
-        model = Model(pairs, phrases, *_logistic(rows, y, weight), 0.0, 0.0)
-        p = np.clip(model.score(rows[None]), 1e-9, 1 - 1e-9)
-        losses = -weight * np.log(np.where(y == 1, p, 1 - p))
-        model.loss = float(losses.sum() / weight.sum())
-        each = np.bincount(whose, losses, len(pairs)) / np.maximum(np.bincount(whose, weight, len(pairs)), 1e-9)
-        model.pairs = [pairs[f] for f in np.argsort(each, kind="stable")[:KEPT_PAIRS]]
-        if best is None or best.loss >= POOR and model.loss < best.loss:
-            model.threshold = max(0.0, float(np.quantile(np.log(p / (1 - p))[y == 0], 1 - FALSE))) if (y == 0).any() else 0.0
-            best = model
-    return best
+    weight = np.where(y == 1, 1.0, share)
+    model = Model(pairs, sort, *_logistic(x, y, weight), 0.0, 0.0)
+    p = np.clip(model.score(x[None]), 1e-9, 1 - 1e-9)
+    losses = -weight * np.log(np.where(y == 1, p, 1 - p))
+    model.loss = float(losses.sum() / weight.sum())
+    each = np.bincount(whose, losses, len(pairs)) / np.maximum(np.bincount(whose, weight, len(pairs)), 1e-9)
+    model.pairs = [pairs[f] for f in np.argsort(each, kind="stable")[:KEPT_PAIRS]]
+    if (y == 0).any():
+        model.threshold = max(0.0, float(np.quantile(np.log(p / (1 - p))[y == 0], 1 - FALSE)))
+    return model
 
 
 def train(texts: list[str | None], labels: list[int]) -> Model | None:
-    """A model, or none without texts of both kinds."""
+    """A model, or none without texts of both kinds; with the dearer windows where the others tell too little."""
     if len(set(labels)) < 2:
         return None
+    pairs = trained_on(texts, labels, 0)
+    return pairs if pairs.loss < POOR else min(pairs, trained_on(texts, labels, 1), key=lambda m: m.loss)
+
+
+def trained_on(texts: list[str | None], labels: list[int], sort: int) -> Model:
+    """A model with one sort of longer windows."""
     kinds = [[t for t, y in zip(texts, labels) if y == k] for k in (0, 1)]
     folds = min(FOLDS, max(2, len(kinds[1])))
     dealt = [[read_words(kind[f::folds]) for f in range(folds)] for kind in kinds]
@@ -351,10 +348,10 @@ def train(texts: list[str | None], labels: list[int]) -> Model | None:
         toxic, hard = lines[1], [[] for _ in range(folds)]
         for k in range(ROUNDS + 1):
             ordinary = [trained(plain[f] + but(hard, f), ORDINARY_BYTES, ORDINARY_SEGMENT) for f in range(folds)]
-            if k or agree == AGREE[0]:  # before the first round all are alike
+            if k:  # without a round the toxic dictionary is of ordinary words above all
                 # calibrated on texts that the dictionaries have not seen
                 pairs = [(ordinary[f], trained(but(toxic, f), TOXIC_BYTES, TOXIC_SEGMENT)) for f in range(folds)]
-                model = calibrated(pairs, few, dealt[1], share)
+                model = calibrated(pairs, few, dealt[1], share, sort)
                 best = min(best, model, key=lambda m: m.loss) if best else model
             if k == ROUNDS:
                 break
@@ -362,7 +359,7 @@ def train(texts: list[str | None], labels: list[int]) -> Model | None:
             toxic, hard = [], []
             for f in range(folds):
                 others = [alone[h] for h in range(folds) if h != f]
-                plain_windows, toxic_windows = (_telling(t, ordinary[f], others, agree) for t in (few[f], dealt[1][f]))
+                plain_windows, toxic_windows = (_telling(t, ordinary[f], others, agree, sort) for t in (few[f], dealt[1][f]))
                 toxic.append([])
                 hard.append([])
                 for (a, b, g), (c, d, h) in zip(plain_windows, toxic_windows):
@@ -375,10 +372,10 @@ def train(texts: list[str | None], labels: list[int]) -> Model | None:
 def _score(batches: Iterator[pa.RecordBatch], model: Model | None, cut: float) -> Iterator[pa.RecordBatch]:
     rulers = []
     for pair in model.pairs if model else ():
-        rulers.append(once(("ruler", hashlib.sha256(b"".join(pair)).digest()), lambda pair=pair: Ruler(*pair)))
+        rulers.append(once(("ruler", model.sort, hashlib.sha256(b"".join(pair)).digest()), lambda pair=pair: Ruler(*pair, model.sort)))
     for batch in tb.blocks(batches):
         if model:
-            scores = model.score(described(read_words(batch.column("text").to_pylist()), rulers, model.phrases))
+            scores = model.score(described(read_words(batch.column("text").to_pylist()), rulers, model.sort))
         else:
             scores = np.zeros(batch.num_rows)
         yield pa.RecordBatch.from_arrays(
