@@ -184,7 +184,8 @@ def test_windows_by_hand(rng):
     texts = [None, "", "!", "One", "É  two--three"] + [" ".join(rng.choices(vocab, k=rng.randint(1, 40))) for _ in range(30)]
     words = [re.findall(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower().encode()) for t in texts]
     pair = b" " + " ".join(vocab[:40]).encode() + b" ", b" " + " ".join(vocab[40:]).encode() + b" "
-    ruler, text = toxicity_zstd.Ruler(*pair), toxicity_zstd.read_words(texts)
+    text = toxicity_zstd.read_words(texts)
+    ruler = toxicity_zstd.Ruler(*pair)
     assert np.diff(text.first).tolist() == list(map(len, words))
 
     def distance(window, searches):
@@ -195,11 +196,12 @@ def test_windows_by_hand(rng):
     flat = [b" " + w + b" " for x in words for w in x]
     for _ in range(2):  # measured, and then remembered
         assert ruler.of_words(text).tolist() == [distance(w, toxicity_zstd.FINE) for w in flat]
-    for size, step in ((2, 2), (3, 1)):
+    for sort, (size, step, searches) in enumerate(toxicity_zstd.SORTS):
         begin, end, of = text.windows(size, step)
         slid = [(k, b" " + b" ".join(x[a : a + size]) + b" ") for k, x in enumerate(words) for a in range(0, len(x), step)]
         assert list(zip(of.tolist(), toxicity_zstd.spans(text.buffer, begin, end))) == slid
-        assert ruler.distance(text.buffer, begin, end, False).tolist() == [distance(w, toxicity_zstd.QUICK) for _, w in slid]
+        got = toxicity_zstd.Ruler(*pair, sort).distance(text.buffer, begin, end, False)
+        assert got.tolist() == [distance(w, searches) for _, w in slid]
     rows = toxicity_zstd.described(text, [ruler])[0]
     gains = ruler.of_words(text)
     for k, x in enumerate(words):
