@@ -207,14 +207,29 @@ def _of_texts(every: DataFrame, seeds: DataFrame, patterns: DataFrame) -> DataFr
     return patterns.join(both, "pattern").where(F.col("seed_texts") >= LEXICAL * F.col("texts"))
 
 
-def lexical_pairs(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Patterns of two words that pass :func:`_of_texts`."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def _pairs_in(text: Column) -> Column:
+    """Different pairs of words that follow each other in a text."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
     two = lambda w: F.zip_with(
         F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)
     )
-    every = docs.select(F.xxhash64(text).alias("_text"), F.explode(F.array_distinct(let(words, two))).alias("pattern"))
+    return F.array_distinct(let(words, two))
+
+
+def possible_pairs(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs that :func:`_of_texts` may pass: they do among texts with seeds alone, whose share of texts is higher."""
+    texts = found.where("held is not null").dropDuplicates(["_text"])
+    counts = texts.select(F.explode("held").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("texts"))
+    before = F.array_distinct(F.transform("base", pair_of))
+    seeds = texts.select(F.explode(before).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("seed_texts"))
+    both = pairs.join(counts, "pattern").join(seeds, "pattern")
+    return both.where(F.col("seed_texts") >= LEXICAL * F.col("texts")).select(*pairs.columns)
+
+
+def lexical_pairs(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Patterns of two words that pass :func:`_of_texts`."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    every = docs.select(F.xxhash64(text).alias("_text"), F.explode(_pairs_in(text)).alias("pattern"))
     seeds = found.select("_text", F.explode(F.array_distinct(F.transform("base", pair_of))).alias("pattern"))
     return _of_texts(every, seeds, pairs)
 
@@ -245,6 +260,8 @@ def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     base = docs.select(F.col("doc_id").alias("_id"), text.alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     base = base.withColumn("_hits", matches(F.col("_text")))
     base = base.withColumns({"base": F.filter("_hits", lambda s: s["valid"]), "others": _candidates(F.col("_text"), F.col("_hits"))})
+    # pairs of the texts with seeds, a few of all, tell which patterns of two words may pass at all
+    base = base.withColumn("held", F.when(F.size("base") > 0, _pairs_in(F.col("_text"))))
     found = materialise(base.withColumn("_text", F.xxhash64("_text")).drop("_hits").withColumn("_row", F.monotonically_increasing_id()), "found")
     edges = materialise(_edges(found), "edges")
     sure = score_patterns(edges).where((F.col("confidence") >= CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS))
@@ -256,6 +273,8 @@ def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     # texts are looked at again only for patterns there are
     if not single.isEmpty():
         good = good.union(lexical(docs, single).select("pattern"))
+    if not pairs.isEmpty():
+        pairs = materialise(possible_pairs(found, pairs), "patterns")
     if not pairs.isEmpty():
         good = good.union(lexical_pairs(docs, found, pairs).select("pattern"))
     if not names.isEmpty():
