@@ -108,7 +108,7 @@ class Encoder:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, sequence: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, part = once(("encoder", path), lambda: Encoder(path)), TaskContext.get().partitionId()
+    encoder, part = once("encoder", path, lambda: Encoder(path)), TaskContext.get().partitionId()
     counts = np.zeros(sequence + 1, np.int64)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local_rank"]
     for batch in tb.blocks(batches):

@@ -71,7 +71,7 @@ LADDER = np.arange(1, 25)
 FINE = ((zstandard.STRATEGY_BTOPT, 3), (zstandard.STRATEGY_BTLAZY2, 4))
 #: Sorts of longer windows: their words, of how many words one begins, and their searches.  The
 #: second sort tells phrases of ordinary words, and is five times as dear.
-SORTS = ((2, 2, ((zstandard.STRATEGY_DFAST, 4),)), (3, 1, ((zstandard.STRATEGY_BTLAZY2, 4),)))
+SORTS = ((3, 3, ((zstandard.STRATEGY_DFAST, 4),)), (3, 1, ((zstandard.STRATEGY_BTLAZY2, 4),)))
 
 # a word is a run of ASCII letters and of bytes of other characters
 _SOLID = np.ones(256, bool)
@@ -371,8 +371,9 @@ def trained_on(texts: list[str | None], labels: list[int], sort: int) -> Model:
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model | None, cut: float) -> Iterator[pa.RecordBatch]:
     rulers = []
-    for pair in model.pairs if model else ():
-        rulers.append(once(("ruler", model.sort, hashlib.sha256(b"".join(pair)).digest()), lambda pair=pair: Ruler(*pair, model.sort)))
+    if model:
+        key = model.sort, hashlib.sha256(b"".join(x for pair in model.pairs for x in pair)).digest()
+        rulers = once("rulers", key, lambda: [Ruler(*pair, model.sort) for pair in model.pairs])
     for batch in tb.blocks(batches):
         if model:
             scores = model.score(described(read_words(batch.column("text").to_pylist()), rulers, model.sort))

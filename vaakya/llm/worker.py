@@ -10,16 +10,17 @@ from typing import Any
 from pyspark import cloudpickle
 
 
-def once(key: Hashable, make: Callable[[], Any]) -> Any:
-    """``make()`` of the first task of this process that asks for ``key``.
+def once(kind: str, key: Hashable, make: Callable[[], Any]) -> Any:
+    """``make()`` of the first task of this process that asks for ``key``; one value of a kind is kept, the last.
 
     Functions travel to workers by value, so what their modules hold is new in each task; a
     module of the process itself outlives them.
     """
     kept = sys.modules.setdefault("_vaakya_kept", types.ModuleType("_vaakya_kept")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kept.get(kind, (None,))[0] != key:
+        kept.pop(kind, None)  # the old value goes before the new one is made
+        kept[kind] = key, make()
+    return kept[kind][1]
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
